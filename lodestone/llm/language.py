@@ -150,7 +150,7 @@ def train(
     *,
     id_col: str = "doc_id",
     sample_rows: int = 4000,
-    longest: int = 4,
+    longest: int = 3,
     max_grams: int = 150_000,
     script_share: float = 0.01,
     switch_penalty: float = 14.0,
@@ -245,12 +245,13 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 class _Scorer:
     """Scores of tokens, kept for tokens seen before, up to `limit` of them."""
 
-    def __init__(self, model: LanguageModel, limit: int = 250_000):
+    def __init__(self, model: LanguageModel, limit: int = 500_000):
         self.model, self.limit = model, limit
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
         self.rows = np.zeros((1 << 16, len(self.model.langs)), dtype=np.float32)
         self.letters = np.zeros(1 << 16, dtype=np.int32)
         self.used = 1
@@ -260,14 +261,18 @@ class _Scorer:
         found = [list(map(index.get, tokens)) for tokens in texts]
         fresh = list(dict.fromkeys(t for tokens, ids in zip(texts, found, strict=True) if None in ids for t, i in zip(tokens, ids, strict=True) if i is None))
         if fresh:
-            rows, letters = self.model.words(fresh)
-            while self.used + len(fresh) > len(self.rows):
+            # case and outer punctuation change no score: such forms of a word share a row
+            bare = [t.strip(_OUTER).lower() for t in fresh]
+            new = [t for t in dict.fromkeys(bare) if t not in self.bare]
+            rows, letters = self.model.words(new)
+            while self.used + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                 self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-            at = np.arange(self.used, self.used + len(fresh))
+            at = np.arange(self.used, self.used + len(new))
             self.rows[at], self.letters[at] = rows, letters
-            index.update(zip(fresh, at.tolist(), strict=True))
-            self.used += len(fresh)
+            self.bare.update(zip(new, at.tolist(), strict=True))
+            index.update(zip(fresh, map(self.bare.__getitem__, bare), strict=True))
+            self.used += len(new)
             found = [list(map(index.get, tokens)) if None in ids else ids for tokens, ids in zip(texts, found, strict=True)]
         return [np.array(ids, dtype=np.int64) for ids in found]
 
@@ -276,7 +281,7 @@ def _label_batches(model: LanguageModel, of):
     def run(batches):
         scorer = _Scorer(model)
         for batch in batches:
-            if scorer.used > scorer.limit:
+            if len(scorer.index) > scorer.limit:
                 scorer.reset()
             texts = of(batch).to_pylist()
             words = scorer.ids([x.split() if x else [] for x in texts])
@@ -304,6 +309,7 @@ def _label_batches(model: LanguageModel, of):
     return run
 
 
+_OUTER = ".,;:!?()\"'&%$*|#[]{}<>-"
 SPANS = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
 
 
