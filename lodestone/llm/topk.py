@@ -31,10 +31,10 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors.astype(np.int64)
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(self.vectors.T, self.order.astype(np.int64), axis=1)
+        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
+        self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
 
-    def top(self, own: int, query: np.ndarray, k: int, levels: int = 8, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, own: int, query: np.ndarray, k: int, levels: int = 3, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of every candidate that can be among the k best; at least all of the k best."""
         n, dims = self.vectors.shape
         able = self.ids != own
@@ -101,7 +101,7 @@ def quantised(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null").where(usable).select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, *, block_rows: int = 4096, least_blocks: int = 8, query_rows: int = 2048) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, *, block_rows: int = 8192, least_blocks: int = 8, query_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score) over (vec_id, v array<long>) candidates and queries."""
     candidates, queries = written(candidates), written(queries)
     blocks = max(least_blocks, -(-candidates.count() // block_rows))
