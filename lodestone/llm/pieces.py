@@ -16,6 +16,7 @@ holds U+2581 itself.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from array import array
@@ -130,6 +131,7 @@ class PieceModel:
     unknown: int
     byte_ids: list[int]
     out: list[bytes]
+    scores: list[float]
 
     @classmethod
     def load(cls, path: str = DEFAULT_MODEL) -> PieceModel:
@@ -166,14 +168,14 @@ class PieceModel:
                 out.append(b"" if kind == CONTROL else p.replace(MARK, " ").encode())
         pairs = frozenset(p[i : i + 2] for p, _, kind in pieces if kind in (NORMAL, USER) for i in range(len(p) - 1))
         worst = min((s for _, s, kind in pieces if kind == NORMAL), default=0.0)
-        return cls(pieces, prefix, DoubleArray(usable), pairs, all(x[0] == MARK for x in pairs if x[1] == MARK), worst, unknown, byte_ids, out)
+        return cls(pieces, prefix, DoubleArray(usable), pairs, all(x[0] == MARK for x in pairs if x[1] == MARK), worst, unknown, byte_ids, out, [x for _, x, _ in pieces])
 
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of escaped text, without any cut."""
-        base, check, value, pieces = self.trie.base, self.trie.check, self.trie.value, self.pieces
+        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         data = text.encode("utf-8", "surrogatepass")
         n = len(data)
-        score: list = [None] * (n + 1)
+        score = [-math.inf] * (n + 1)
         came = [0] * (n + 1)
         ids = [-1] * (n + 1)
         score[0] = 0.0
@@ -181,25 +183,26 @@ class PieceModel:
         start = 0
         while start < n:
             b = data[start]
-            width = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-            here, single, node = score[start], False, 0
-            for end in range(start, n):
+            first = start + (1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4)
+            here, node, end, single = score[start], 0, start, False
+            while end < n:
                 child = base[node] + data[end] + 1
                 if check[child] != node:
                     break
                 node = child
+                end += 1
                 found = value[node]
                 if found >= 0:
-                    end += 1
-                    new = here + pieces[found][1]
-                    if score[end] is None or new > score[end]:
+                    new = here + scores[found]
+                    if new > score[end]:
                         score[end], came[end], ids[end] = new, start, found
-                    single = single or end - start == width
+                    if end == first:
+                        single = True
             if not single:
-                end, new = start + width, here + missing
-                if score[end] is None or new > score[end]:
-                    score[end], came[end], ids[end] = new, start, -1
-            start += width
+                new = here + missing
+                if new > score[first]:
+                    score[first], came[first], ids[first] = new, start, -1
+            start = first
         out: list[int] = []
         at = n
         while at:
@@ -215,7 +218,7 @@ class PieceModel:
 class Codec:
     """Encoder and decoder that keeps the ids of parts met before."""
 
-    def __init__(self, model: PieceModel, limit: int = 300_000):
+    def __init__(self, model: PieceModel, limit: int = 600_000):
         self.model, self.limit = model, limit
         self.words: dict[str, list[int]] = {}
         self.parts: dict[str, list[int]] = {}
