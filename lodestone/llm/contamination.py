@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import arrow_rows, with_text
+from lodestone.llm.tables import arrow_rows, lean, with_text
 
 BLOCK_CHARS = 4_000_000
 
@@ -112,6 +112,7 @@ class Matcher:
 
 
 def _match_batches(items: list, rate: float, min_chars: int, of):
+    @lean
     def run(batches):
         matcher = Matcher(items, rate, min_chars)
         for batch in batches:
@@ -129,6 +130,7 @@ def _match_batches(items: list, rate: float, min_chars: int, of):
 
 
 def _clean_batches(items: list, rate: float, min_chars: int, of):
+    @lean
     def run(batches):
         matcher = Matcher(items, rate, min_chars)
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import arrow_rows, sampled, with_text
+from lodestone.llm.tables import arrow_rows, lean, sampled, with_text
 
 #: First code point of each block of letters, in order (fixed values from the Unicode charts).
 SCRIPT_RANGES = [
@@ -119,6 +119,7 @@ class LanguageModel:
 
 
 def _count_batches(longest: int):
+    @lean
     def run(batches):
         for batch in batches:
             by: dict[str, Counter] = {}
@@ -245,7 +246,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 class _Scorer:
     """Scores of tokens, kept for tokens seen before, up to `limit` of them."""
 
-    def __init__(self, model: LanguageModel, limit: int = 500_000):
+    def __init__(self, model: LanguageModel, limit: int = 400_000):
         self.model, self.limit = model, limit
         self.reset()
 
@@ -278,6 +279,7 @@ class _Scorer:
 
 
 def _label_batches(model: LanguageModel, of):
+    @lean
     def run(batches):
         scorer = _Scorer(model)
         for batch in batches:

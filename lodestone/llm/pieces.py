@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import arrow_rows, with_text
+from lodestone.llm.tables import arrow_rows, lean, with_text
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -216,14 +216,14 @@ class PieceModel:
 
 
 class Codec:
-    """Encoder and decoder that keeps the ids of parts met before."""
+    """Encoder and decoder that keeps the ids (packed int32) of parts met before."""
 
-    def __init__(self, model: PieceModel, limit: int = 600_000):
+    def __init__(self, model: PieceModel, limit: int = 300_000):
         self.model, self.limit = model, limit
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         """Ids of escaped text, cut wherever that is safe."""
         model, pairs, out, start = self.model, self.model.pairs, [], 0
         for i in range(1, len(word) + 1):
@@ -231,31 +231,36 @@ class Codec:
                 part = word[start:i]
                 ids = self.parts.get(part)
                 if ids is None:
-                    ids = model.best(part)
+                    ids = array("i", model.best(part)).tobytes()
                     if len(part) <= 64:
                         if len(self.parts) >= self.limit:
                             self.parts.clear()
                         self.parts[part] = ids
-                out += ids
+                out.append(ids)
                 start = i
-        return out
+        return b"".join(out)
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as int32 in the machine's byte order."""
         if not text:
-            return []
+            return b""
         if not self.model.cut_at_marks or "  " in text or text[0] == " " or text[-1] == " " or not self.model.prefix or MARK in text:
             return self._word((MARK if self.model.prefix else "") + text.replace(" ", MARK))
-        words, out = self.words, []
-        for w in text.split(" "):
-            ids = words.get(w)
-            if ids is None:
-                ids = self._word(MARK + w)
-                if len(w) <= 64:
-                    if len(words) >= self.limit:
-                        words.clear()
-                    words[w] = ids
-            out += ids
-        return out
+        split = text.split(" ")
+        found = list(map(self.words.get, split))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    w = split[i]
+                    found[i] = ids = self._word(MARK + w)
+                    if len(w) <= 64:
+                        if len(self.words) >= self.limit:
+                            self.words.clear()
+                        self.words[w] = ids
+        return b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.model.out.__getitem__, ids))
@@ -265,13 +270,17 @@ class Codec:
 
 
 def _encode_batches(model: PieceModel, digest: bool):
+    @lean
     def run(batches, of):
         codec = Codec(model)
         is_byte = np.array([kind == BYTE for _, _, kind in model.pieces])
         for batch in batches:
             texts = of(batch).to_pylist()
             if not digest:
-                ids = pa.array([None if x is None else codec.encode(x) for x in texts], pa.list_(pa.int32()))
+                packed = [None if x is None else codec.packed(x) for x in texts]
+                offsets = np.concatenate(([0], np.cumsum([len(x or b"") // 4 for x in packed]))).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(x for x in packed if x), dtype=np.int32))
+                ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([x is None for x in packed], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["key", "ids"])
                 continue
             cols: list[list] = [[], [], [], []]
@@ -280,13 +289,12 @@ def _encode_batches(model: PieceModel, digest: bool):
                     for c in cols:
                         c.append(None)
                     continue
-                ids = codec.encode(x)
-                packed = array("i", ids)
-                cols[0].append(len(ids))
+                packed = codec.packed(x)
                 flat = np.frombuffer(packed, dtype=np.int32)
+                cols[0].append(len(flat))
                 cols[1].append(int(is_byte[flat].sum()))
                 cols[2].append(zlib.crc32(packed))
-                cols[3].append(codec.decode(ids) == x)
+                cols[3].append(codec.decode(array("i", packed)) == x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["key", "n_ids", "n_bytes", "ids_crc32", "round_trip"])
 
@@ -312,6 +320,7 @@ def encode_digest(docs: DataFrame, model: PieceModel, *, text_col: str = "text",
 def decode(encoded: DataFrame, model: PieceModel, *, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Kept columns and the decoded text; null for null ids."""
 
+    @lean
     def run(batches, of):
         codec = Codec(model)
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import arrow_rows, with_text
+from lodestone.llm.tables import arrow_rows, lean, with_text
 
 
 @dataclass(frozen=True)
@@ -209,6 +209,7 @@ SPAN = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end",
 
 
 def _scan_batches(rules: tuple[Rule, ...], of):
+    @lean
     def run(batches):
         queries = [trigram_query(r.pattern) for r in rules]
         # a rule whose length floor has no group can be verified by a pattern that holds the floor itself

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import arrow_rows, written
+from lodestone.llm.tables import arrow_rows, lean, written
 from lodestone.llm.wordhash import _INVERSE, U, hashed, mix, rolled
 
 GRAM = 8
@@ -62,6 +62,7 @@ def anchors(words: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarra
 
 
 def _anchor_batches(length: int):
+    @lean
     def run(batches):
         for batch in batches:
             rows, cols = [], [[], [], [], []]
@@ -81,6 +82,7 @@ def _anchor_batches(length: int):
 
 
 def _window_batches(length: int):
+    @lean
     def run(batches):
         for batch in batches:
             rows, cols = [], [[], [], [], []]
@@ -99,6 +101,7 @@ def _window_batches(length: int):
     return run
 
 
+@lean
 def _cut_batches(batches):
     for batch in batches:
         texts, spans = batch.column(1), batch.column(2)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +84,20 @@ def with_text(docs: DataFrame, keep: list[str], text_col: str):
         df = docs.select(key, F.col(f"`{text_col}`").alias("text"))
         texts = lambda batch: batch.column(1)
     return df, "key " + df.schema["key"].dataType.simpleString(), texts
+
+
+def lean(run):
+    """run, giving memory back to the system when a task ends: Python workers live on between tasks and stages."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

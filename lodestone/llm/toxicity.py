@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import arrow_rows, sampled, with_text
+from lodestone.llm.tables import arrow_rows, lean, sampled, with_text
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 NEGATED, REPORTED, TARGETED = 1, 2, 4
@@ -177,6 +177,7 @@ class Reader:
         return [*map(math.log1p, sums), math.log1p(best), math.log1p(n)]
 
 
+@lean
 def _count_partition(batches):
     seen = [Counter(), Counter()]
     docs = [0, 0]
@@ -194,6 +195,7 @@ def _count_partition(batches):
 
 
 def _feature_batches(model: ToxicModel, of):
+    @lean
     def run(batches):
         reader = Reader(model)
         for batch in batches:
