@@ -1,0 +1 @@
+"""Readers: driver tables as graph tables, and transcript formats."""
