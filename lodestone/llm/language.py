@@ -98,7 +98,7 @@ class LanguageModel:
                 rows += ids
             if not low.isascii():
                 foreign.append((i, word_script("".join(parts))))
-        if at:
+        if at and self.langs:
             scores[at] = np.add.reduceat(self.table[rows], starts, axis=0)
             plain = np.array([("latin" in s) for s in self.scripts])
             kinds = {i: s for i, s in foreign}
@@ -152,7 +152,7 @@ def train(
     id_col: str = "doc_id",
     sample_rows: int = 4000,
     longest: int = 3,
-    max_grams: int = 150_000,
+    max_grams: int = 60_000,
     script_share: float = 0.01,
     switch_penalty: float = 14.0,
     floor: float = 10.0,
@@ -166,7 +166,7 @@ def train(
         .groupBy("lang", "kind", "key")
         .agg(F.sum("n").alias("n"))
     )
-    kept = counts.orderBy(F.when(F.col("kind") == "script", 0).otherwise(1), F.desc("n"), "key", "lang").limit(max_grams).collect()
+    kept = counts.orderBy(F.when(F.col("kind") == "script", 0).otherwise(1), F.desc("n"), "key", "lang").limit(max_grams).toArrow().to_pylist()
     langs = sorted({r["lang"] for r in kept})
     at = {x: i for i, x in enumerate(langs)}
     letters = {x: Counter() for x in langs}

@@ -42,9 +42,19 @@ def written(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most so many rows (a smaller setting stays), which bounds a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -94,10 +104,6 @@ def lean(run):
         try:
             yield from run(*args)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped
