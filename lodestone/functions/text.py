@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed patterns and word lists.
-CONNECTORS = ("and", "but", "or", "so", "because", "which", "that", "then")
-DANGLING = r"(?i)(?:,|\b(?:and|but|or|so|because|which|that|the|a|to|of))$"
+# Word lists and patterns that decide results.
+CONNECTORS = (
+    "and", "but", "so", "or", "yet", "nor", "for", "which", "that", "when", "where", "while", "since",
+    "because", "although", "though", "unless", "is", "are", "was", "were",
+)
+ABBREVIATIONS = (
+    "dr", "mr", "mrs", "ms", "prof", "sr", "jr", "rep", "sen", "gen", "col", "maj", "capt", "lt", "st", "ave",
+    "blvd", "rd", "etc", "eg", "ie", "vs", "approx", "est",
+)
+STOPWORDS = (
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were",
+    "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might",
+    "must", "can", "this", "that", "these", "those", "from", "into", "onto", "over", "under", "it", "its", "their", "our",
+)
+UNITS = r"(?i)(?:\b(?:mg|g|kg|ml|l|hour|hours|min|minute|minutes|sec|seconds|degree|degrees)\b|%)"
+
+_ANY_CONNECTOR = "|".join(CONNECTORS)
+DANGLING = rf"(?U)(?i)(?:\.\.\.|…|[,:;]|(?:^|\s)(?:{_ANY_CONNECTOR})[.,;:!?)\]]?)\s*$"
+CONNECTED = rf"""(?U)(?i)^\s*["'(\[]?(?:{_ANY_CONNECTOR})(?:\s|$)"""
 
 
 def normalise(x: Column) -> Column:
@@ -16,8 +32,8 @@ def normalise(x: Column) -> Column:
 
 
 def key(x: Column) -> Column:
-    """Lower case without punctuation, for keep-first dedupe."""
-    return normalise(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}\s]", ""))
+    """Lower case without punctuation and quotes, for keep-first dedupe."""
+    return normalise(F.regexp_replace(F.lower(normalise(x)), r"""[.",;:!?()\[\]{}'‘’“”]""", ""))
 
 
 def tokens(x: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -72,11 +88,48 @@ def without_markup(x: Column) -> Column:
 
 
 def dangling(x: Column) -> Column:
-    return F.trim(x).rlike(DANGLING)
+    """Ends with an ellipsis, a comma, colon or semicolon, or a connector."""
+    return x.rlike(DANGLING)
 
 
 def starts_with_connector(x: Column) -> Column:
-    return F.lower(F.regexp_extract(F.trim(x), r"^(\w+)", 1)).isin(*CONNECTORS)
+    return x.rlike(CONNECTED)
+
+
+def complete(x: Column) -> Column:
+    """Starts with no lower-case letter, ends like a sentence, with its quotes and brackets closed, and doesn't dangle."""
+    t = normalise(x)
+    first = F.substring(F.regexp_replace(t, r"""^["'(\[\s]+""", ""), 1, 1)
+    last = F.substring(t, -1, 1)
+    count = lambda c: F.regexp_count(t, F.lit("\\" + c))
+    quoted = t.rlike("""^["']""") & (F.substring(t, 1, 1) != last)
+    uneven = (count("(") != count(")")) | (count("[") != count("]"))
+    ends = t.rlike(r"""[.!?]["'\])]?$""") & (~(quoted | uneven) | last.isin(".", "!", "?"))
+    return (first != "") & (first == F.upper(first)) & ends & ~dangling(t)
+
+
+def fragment_marks(x: Column) -> Column:
+    """Ellipses, and one more for another dangling end."""
+    return F.regexp_count(x, F.lit(r"\.{3}|…")) + (dangling(x) & ~F.trim(x).rlike(r"(?:\.\.\.|…)$")).cast("int")
+
+
+def sentences(x: Column) -> Column:
+    """Array of sentences: one ends with a word that ends in . ! or ? (and a closing mark) and is no abbreviation."""
+    words = F.split(normalise(x), " ")
+    ends = lambda w: w.rlike(r"""[.!?]["')\]}]?$""") & ~F.regexp_replace(F.lower(w), "[^a-z0-9]", "").isin(*ABBREVIATIONS)
+    marked = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(ends(w), "\u0001").otherwise(" "))), "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def estimated_tokens(x: Column) -> Column:
+    return F.ceil(F.length(x) / 4).cast("long")
+
+
+def heuristic_confidence(x: Column) -> Column:
+    """0.4, more for numbers, units, a complete sentence and length, less for fragments; 0.1 to 0.95."""
+    bonus = lambda c, v: F.when(c, v).otherwise(0.0)
+    score = F.lit(0.4) + bonus(x.rlike(r"[0-9]"), 0.15) + bonus(x.rlike(UNITS), 0.1) + bonus(complete(x), 0.1)
+    return clamp(score + F.least(F.length(x) / 200, F.lit(0.15)) - fragment_marks(x) * 0.1, 0.1, 0.95)
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

@@ -46,3 +46,37 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(link(read("customer"), "project-", "c_custkey", "projectInArea", "area-", "c_nationkey"))
         .unionByName(link(read("nation"), "area-", "n_nationkey", "relatedTo", "goal-", "n_regionkey"))
     )
+
+
+def clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of conversations as resources, their turns as excerpts, what the assistant said as claims, and
+    nations as references."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    key = lambda kind, *cols: F.concat_ws("-", F.lit(kind), *cols)
+    resource = key("resource", "conv_id")
+
+    def node(df: DataFrame, kind: str, id_, label, content, **meta) -> DataFrame:
+        packed = F.to_json(F.struct(*[v.alias(k) for k, v in meta.items()]))
+        return df.select(id_.alias("id"), F.lit(kind).alias("type"), label.alias("label"), content.cast("string").alias("content"), packed.alias("metadata"))
+
+    said = turns.where("role = 'assistant'")
+    n = (F.col("conv_id") + F.col("turn")) % 4
+    state = F.when(n == 0, "accepted").when(n == 1, "draft").when(n == 2, "rejected")
+    nothing, x = F.lit(None), F.col("text")
+    nations = table(spark, sf_dir, "nation")
+    parts = [
+        node(turns.select("conv_id").distinct(), "Resource", resource, F.concat(F.lit("Conversation "), "conv_id"), nothing, url=F.concat(F.lit("https://example.org/v?id="), "conv_id")),
+        node(turns, "Excerpt", key("excerpt", "conv_id", "turn"), F.substring(x, 1, 40), x, resourceId=resource, start=F.col("turn") * 30.0, speaker=F.col("role")),
+        node(said, "Claim", key("claim", "conv_id", "turn"), F.substring(x, 1, 120), x, resourceId=resource, state=state, method=F.when(F.col("turn") == 1, "heuristic")),
+        node(nations, "Reference", key("reference", "n_nationkey"), F.col("n_name"), nothing, url=F.concat(F.lit("https://example.org/"), F.lower("n_name"))),
+    ]
+    def link(predicate: str, *to):
+        return F.struct(F.lit(predicate).alias("predicate"), key(*to).alias("object"))
+
+    before, ref, tag = (c.cast("string") for c in (F.col("turn") - 1, (F.col("conv_id") * 7 + F.col("turn")) % 25, F.col("turn") % 5))
+    each = F.array(link("claimDerivedFrom", "excerpt", "conv_id", "turn"), link("claimDerivedFrom", "excerpt", "conv_id", before), link("claimMentionsReference", "reference", ref), link("aboutTag", "tag", tag))
+    links = said.select(key("claim", "conv_id", "turn").alias("subject"), F.explode(each).alias("e")).select("subject", "e.*")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, links

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text
 from lodestone.operators import evaluate, graph, segments, taxonomy
 from lodestone.plans import queries as base
+from lodestone.plans import text_queries  # noqa: F401 - adds its queries to base
 
 DATA = "/root/testdata/sf0.001"
 
