@@ -83,7 +83,7 @@ def text_token_chunks(spark, d):
     return chunks.select("doc_id", "seq", text.estimated_tokens(F.col("chunk")).alias("n_tokens"), F.sha2("chunk", 256).alias("digest"))
 
 
-@query(f"""WITH {_CLAIMS} SELECT id, state, 'resource-' || conv_id AS resource_id, "at", ("at" // 60)::BIGINT || ':' || lpad(("at" % 60)::BIGINT::VARCHAR, 2, '0') AS time,
+@query(f"""WITH {_CLAIMS} SELECT id, state, 'resource-' || conv_id AS resource_id, "at", floor("at" / 60)::BIGINT || ':' || lpad(("at" % 60)::BIGINT::VARCHAR, 2, '0') AS time,
 'https://example.org/v?id=' || conv_id || '&t=' || "at"::BIGINT AS link FROM c WHERE state = 'draft'""")
 def review_queue(spark, d):
     return claims.review_queue(*adapters.clips(spark, d)).select("id", "state", "resource_id", "at", "time", "link")
