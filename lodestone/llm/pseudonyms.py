@@ -1,6 +1,6 @@
 """Format-preserving Feistel pseudonyms for personal numbers and dates, in DataFrame functions only.
 
-Candidates are found by one regular expression, validated (Luhn for cards, octets for IP
+Candidates are found by one regular expression a text, validated (Luhn for cards, octets for IP
 addresses, the calendar for dates, area rules for social security and North American phone numbers),
 and keyed-permuted inside their own format by an eight-round Feistel network over mixed radices: the two
 halves of a value's digits take turns, each digit having a keyed SHA-256 of the other half added modulo
@@ -9,6 +9,9 @@ and `restore` inverts it. Cards keep the first digit and get their check digit a
 146,097 days 1800-01-01 to 2199-12-31; phones keep the country code; of e-mail addresses the local part
 is permuted letter for letter and digit for digit, and the domain stays.
 
+Cards are validated before the expression is made, so digits beside a card don't hide it: the usual groupings
+at every start of a group, any other grouping once, as far as it reaches. +1 takes exactly ten more digits.
+
 Values that fail validation stay as they are. Null and empty texts stay, with 0 values. Texts without a
 digit and an at sign skip the pattern. Extra columns are kept by `pseudonymised`.
 """
@@ -25,8 +28,34 @@ IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[2-6](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: Groupings that cards are written in, tried in this order at every start of a group: one run; 4-4-4-4; 4-6-5 and 4-6-4; 4-4-4-4-3.
+CARD_FORMS = (r"[2-6][0-9]{12,18}", r"[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}", r"[2-6][0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{5}", r"[2-6][0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4}", r"[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}[ -]?[0-9]{3}")
 PHONE = r"\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])|(?<![0-9(])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-PATTERN = "|".join([EMAIL, IP, DATE, SSN, CARD, PHONE])
+#: North American numbers with +1 (exactly ten more digits) and without.
+PLUS_ONE = r"\+1[ .()-]{0,2}[2-9](?:[ .()-]{0,2}[0-9]){2}[ .()-]{0,2}[2-9](?:[ .()-]{0,2}[0-9]){6}(?![0-9])"
+PLAIN = r"(?<![0-9(])\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+
+
+def _pattern(cards: Column | str) -> Column:
+    """The pattern of all candidates, `cards` being alternatives for the cards of a text; "" where it has none.
+
+    A number with + ends before a separator that another value follows, if it has eight digits by then.
+    """
+    none = cards == F.lit("")
+    other = F.concat(F.lit("|".join([IP, DATE, SSN, PLAIN])), F.when(none, "").otherwise(F.concat(F.lit("|"), cards)))
+    more = r"[ .()-]{0,2}[0-9]){7,14}(?![0-9])"
+    foreign = F.concat(F.lit(r"\+[0-9](?:(?![ .()-]{1,2}(?:"), other, F.lit("))" + more + r"|\+[0-9](?:" + more))
+    before = F.concat(F.lit("|".join([EMAIL, IP, DATE, SSN]) + "|"), F.when(none, "").otherwise(F.concat(cards, F.lit("|"))))
+    return F.concat(before, F.lit(PLUS_ONE + "|"), foreign, F.lit("|" + PLAIN))
+
+
+def _alternatives(cards: Column) -> Column:
+    return F.when(F.size(cards) > 0, F.concat(F.lit("(?<![0-9])(?:"), F.array_join(cards, "|"), F.lit(")(?![0-9])"))).otherwise("")
+
+
+def _luhn(m: Column) -> Column:
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    return F.pmod(_luhn_sum(digits.substr(F.lit(1), F.length(digits) - 1)) + F.substring(digits, -1, 1).cast("int"), F.lit(10)) == 0
 
 
 def _feistel(cells: Column, key: str, kind: str, sign: int) -> Column:
@@ -89,9 +118,7 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str, sign: int) -> tuple[Column, Column]:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    body = digits.substr(F.lit(1), F.length(digits) - 1)
-    valid = F.pmod(_luhn_sum(body) + F.get(F.split(F.reverse(digits), ""), F.lit(0)).cast("int"), F.lit(10)) == 0
+    valid = _luhn(m)
     new = _characters(m.substr(F.lit(1), F.length(m) - 1), F.array(F.lit(0)), _no_places(), key, "card", sign)
     check = F.pmod(-_luhn_sum(F.regexp_replace(new, "[^0-9]", "")), F.lit(10))
     return valid, F.concat(new, check.cast("string"))
@@ -171,12 +198,19 @@ def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", restore:
 
     restore undoes an earlier call with the same key.
     """
-    text = F.col(text_col)
+    text, none = F.col(text_col), F.array().cast("array<string>")
     may = text.rlike("[0-9@]")
-    found = F.regexp_extract_all(text, F.lit(f"({PATTERN})"), 1)
-    held = docs.withColumn("_found", F.when(may, found).otherwise(F.array().cast("array<string>")))
+    runs = [F.regexp_extract_all(text, F.lit(f"(?<![0-9])(?=({form})(?![0-9]))"), 1) for form in CARD_FORMS]
+    held = docs.withColumn("_cards", F.when(text.rlike(r"(?<![0-9])[2-6](?:[ -]?[0-9]){12}"), F.array_distinct(F.filter(F.concat(*runs), _luhn))))
+    # other groupings get one try, in what the values of a fixed form leave
+    left = F.regexp_replace(text, _pattern(_alternatives(F.col("_cards"))), F.lit("#"))
+    odd = F.filter(F.regexp_extract_all(left, F.lit(f"({CARD})"), 1), _luhn)
+    held = held.withColumn("_cards", F.when(F.col("_cards").isNotNull(), F.array_distinct(F.concat("_cards", odd))).otherwise(none))
+    held = held.withColumn("_pattern", F.when(F.size("_cards") > 0, _pattern(_alternatives(F.col("_cards")))).otherwise(_pattern(F.lit("")))).drop("_cards")
+    found = F.regexp_extract_all(text, F.concat(F.lit("("), F.col("_pattern"), F.lit(")")), 1)
+    held = held.withColumn("_found", F.when(may, found).otherwise(none))
     some = F.size("_found") > 0
     held = held.withColumn("_new", F.when(some, F.transform("_found", lambda m: _mapped(m, key, -1 if restore else 1))).otherwise(F.array().cast("array<struct<kind:string,new:string>>")))
-    rest = F.split(text, PATTERN, -1)
+    rest = F.split(text, F.col("_pattern"), -1)
     joined = F.array_join(F.zip_with(rest, F.transform("_new", lambda x: x.new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return held.withColumns({text_col: F.when(some, joined).otherwise(text), "pii_kinds": F.filter(F.transform("_new", lambda x: x.kind), lambda k: k.isNotNull())}).drop("_found", "_new")
+    return held.withColumns({text_col: F.when(some, joined).otherwise(text), "pii_kinds": F.filter(F.transform("_new", lambda x: x.kind), lambda k: k.isNotNull())}).drop("_pattern", "_found", "_new")

@@ -192,6 +192,24 @@ def test_pseudonyms(spark, odd):
     assert "Python" not in out._jdf.queryExecution().toString()
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    card, phone, ip = "4111 1111 1111 1111", "+1 (826) 555-4081", "190.137.223.204"
+    alone = {v: pseudonyms.pseudonymised(made(spark, [(1, v)]), "k").first()["text"] for v in (card, card.replace(" ", ""), phone, ip, "(212) 555-0123", "2024-02-29", "+49 30 1234567")}
+    forms = [
+        "{0} 123 now", "{1} 12/27", "order 5 {0}", "12 {0} 7", "{1} {3}", "{0} {3}", "{2} {3}", "{2} 5", "{3} {2}", "{5} {0}", "7 {2} {0} {3}",
+        "{6} {3}", "{6} {5}", "{6} {0}", "{6} {4}", "{0} {0}", "{1} {1}", "{4} {4}", "{0} {5}", "5 {5} 10 11 12 {4}",
+    ]
+    plain, new = list(alone), list(alone.values())
+    df = made(spark, [(i, f.format(*plain)) for i, f in enumerate(forms)])
+    out = pseudonyms.pseudonymised(df, "k")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: f.format(*new) for i, f in enumerate(forms)}
+    assert all(a != b for a, b in alone.items())
+    odd = pseudonyms.pseudonymised(made(spark, [(1, "41 11 111 11111 1111"), (2, "+41 44.123.45.67"), (3, "+1 5551234")]), "k")
+    assert [r["pii_kinds"] for r in odd.orderBy("doc_id").collect()] == [["card"], ["phone"], ["phone"]]
+    back = pseudonyms.pseudonymised(out.drop("pii_kinds"), "k", restore=True)
+    assert sorted(r["text"] for r in back.collect()) == sorted(r["text"] for r in df.collect())
+
+
 def test_myers_and_contamination(spark, odd):
     def distance(p, t):
         row = list(range(len(p) + 1))
