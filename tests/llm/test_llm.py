@@ -312,6 +312,26 @@ def test_secrets_against_plain_scan(spark, odd, docs):
             assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s.startswith(k + ":") for s in base) for k in ("assign", "access", "hex"))
 
 
+def test_pipeline_rows_keep_their_number_when_splits_change(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    made(spark, [(i, f"text {i % 24}") for i in range(48)]).repartition(12, "doc_id").write.parquet(f"{tmp_path}/docs")
+    key = "spark.sql.files.maxPartitionBytes"
+
+    def grouped(docs, n, percent, *, id_col):
+        rows = docs.select(id_col, "text").collect()
+        first = {t: min(r[id_col] for r in rows if r["text"] == t) for t in {r["text"] for r in rows}}
+        spark.conf.set(key, "4194304b")  # from here on each file is read by a task of its own
+        return spark.createDataFrame([(r[id_col], first[r["text"]]) for r in rows], f"{id_col} long, component_id long")
+
+    monkeypatch.setattr(ngram_join, "grouped", grouped)
+    try:
+        kept = corpus_pipeline.one_of_each(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(r["doc_id"] % 24 for r in kept) == list(range(24))
+
+
 def test_pipeline_stages(spark, odd, docs):
     import corpus_pipeline
 
