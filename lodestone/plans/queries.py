@@ -111,6 +111,12 @@ def graph_json_ld(spark, d):
     return graph.json_ld_links(n, e.where("predicate <> 'taskMotivatedBy'")).withColumn("targets", F.array_join("targets", " "))
 
 
+@query(_BOTH + "SELECT subject, predicate, array_to_string(list_sort(list(object)), ' ') AS targets FROM edges GROUP BY ALL")
+def graph_json_ld_all(spark, d):
+    """graph_json_ld over all edges, those with several targets to a subject among them."""
+    return graph.json_ld_links(*_graph(spark, d)).withColumn("targets", F.array_join("targets", " "))
+
+
 @query(_BOTH + """SELECT id, label, CASE WHEN contains(lower(label), 'red') THEN 2 ELSE 0 END AS score, 0.0::DOUBLE AS "at" FROM nodes
 WHERE type = 'Claim' AND coalesce(state, 'accepted') = 'accepted' AND contains(lower(label), 'red') ORDER BY score DESC, "at", id LIMIT 20""")
 def search_claims(spark, d):

@@ -51,6 +51,12 @@ def test_pages(spark):
     assert ids(cursor="No|such") == ["area-1"]
 
 
+def test_json_ld_groups_all_edges(spark):
+    edges = base._graph(spark, DATA)[1]
+    targets = base.QUERIES["graph_json_ld_all"](spark, DATA).select(F.size(F.split("targets", " ")).alias("n"))
+    assert targets.agg(F.sum("n")).first()[0] == edges.count() and targets.where("n > 1").count() > 0
+
+
 def test_text(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     t = lambda s: text.tokens(F.lit(s))
