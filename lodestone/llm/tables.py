@@ -43,7 +43,22 @@ def written(df: DataFrame) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     give_back()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() wrote for df, and lets Spark remove shuffle files that nothing refers to any more.
+
+    Only for a table whose readers have been written themselves: nothing derived from it may run again.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(df._written_at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def give_back() -> None:
@@ -55,6 +70,18 @@ def give_back() -> None:
         trim(0)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes for df not to have such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = "_" + name
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most so many rows (a smaller setting stays), which bounds a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -68,17 +95,24 @@ def crc_mod(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
-def sampled(df: DataFrame, key: str, rows: int, groups: list[str] | None = None) -> DataFrame:
-    """About `rows` of df's rows with a non-null key (all, if fewer): those whose keyed hash falls below a threshold.
+def sampled(df: DataFrame, key: str, rows: int, group: str | None = None) -> DataFrame:
+    """About `rows` of df's rows with a non-null key (all, if fewer), of each value of `group` if one is given:
+    those whose keyed hash falls below a threshold.
 
-    The same rows come each time and on any partitioning; the number is binomial around `rows`.
+    The same rows come each time and on any partitioning; the number is binomial around `rows`. The counts by group
+    come to the driver: groups are kinds such as languages, not keys.
     """
     df = df.where(F.col(key).isNotNull())
-    n = df.select(key).count()
-    if n <= rows:
-        return df
     parts = 1 << 30
-    return df.where(F.pmod(F.xxhash64(F.lit(20177), F.col(key)), F.lit(parts)) < F.lit(int(parts * rows / n)))
+    place = F.pmod(F.xxhash64(F.lit(20177), F.col(key)), F.lit(parts))
+    counts = {r[0]: r[1] for r in df.groupBy(F.col(group) if group else F.lit(0)).count().collect()}
+    rare = [g for g, n in counts.items() if n <= rows]
+    if len(rare) == len(counts):
+        return df
+    if group is None:
+        return df.where(place < F.lit(int(parts * rows / counts[0])))
+    limits = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, parts if n <= rows else int(parts * rows / n))])
+    return df.where(place < limits[F.col(group)])
 
 
 def with_text(docs: DataFrame, keep: list[str], text_col: str):
