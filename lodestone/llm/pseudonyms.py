@@ -3,8 +3,9 @@
 Candidates are found by one regular expression a text, validated (Luhn for cards, octets for IP
 addresses, the calendar for dates, area rules for social security and North American phone numbers),
 and keyed-permuted inside their own format by an eight-round Feistel network over mixed radices: the two
-halves of a value's digits take turns, each digit having a keyed SHA-256 of the other half added modulo
-its radix. The mapping is one to one for a key and kind, so equal values stay linked across documents,
+halves of a value's digits take turns, each digit having its part of a keyed SHA-512 of the other half added modulo
+its radix. Separators have no part in it and are put back afterwards, so a card or phone is linked over its notations.
+The mapping is one to one for a key and kind, so equal values stay linked across documents,
 and `restore` inverts it. Cards keep the first digit and get their check digit anew; dates move inside the
 146,097 days 1800-01-01 to 2199-12-31; phones keep the country code; of e-mail addresses the local part
 is permuted letter for letter and digit for digit, and the domain stays.
@@ -12,8 +13,8 @@ is permuted letter for letter and digit for digit, and the domain stays.
 Cards are validated before the expression is made, so digits beside a card don't hide it: the usual groupings
 at every start of a group, any other grouping once, as far as it reaches. +1 takes exactly ten more digits.
 
-Values that fail validation stay as they are. Null and empty texts stay, with 0 values. Texts without a
-digit and an at sign skip the pattern. Extra columns are kept by `pseudonymised`.
+Values that fail validation stay as they are. Null and empty texts stay, with 0 values; an empty table gives an
+empty table. Texts without a digit and an at sign skip the pattern. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.tables import fresh
+
 ROUNDS = 8
+#: How many cells one SHA-512 serves.
+CELLS = 16
 #: Fixed formats, tried in this order.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
@@ -59,52 +64,54 @@ def _luhn(m: Column) -> Column:
 
 
 def _feistel(cells: Column, key: str, kind: str, sign: int) -> Column:
-    """cells: array<struct<v, r, o>>, v in [0, r) -> the same with every v permuted; sign -1 undoes it.
+    """cells: array<struct<v, r>>, v in [0, r) -> array of every v permuted; sign -1 undoes it.
 
-    A cell carries its radix r and its offset o along, so that nothing is worked out again in the rounds.
+    A round has one keyed SHA-512 of the other half for every CELLS cells; each cell adds its own eight hex digits of it.
     """
     half = F.floor(F.size(cells) / 2).cast("int")
     order = range(ROUNDS) if sign > 0 else range(ROUNDS - 1, -1, -1)
-    state = F.transform(cells, lambda c: F.struct(c.v.cast("bigint").alias("v"), c.r.cast("bigint").alias("r"), c.o.cast("bigint").alias("o"), half.alias("h")))
+    state = F.transform(cells, lambda c: F.struct(c.v.cast("bigint").alias("v"), c.r.cast("bigint").alias("r"), half.alias("h")))
 
     def one(now: Column, r: Column) -> Column:
         left = r % 2 == 0
         h = F.get(now, F.lit(0)).h
+        mine = F.when(left, h).otherwise(F.size(now) - h)
         rest = F.when(left, F.slice(now, h + 1, F.size(now) - h)).otherwise(F.slice(now, F.lit(1), h))
-        other = F.concat_ws(",", F.transform(rest, lambda c: c.v.cast("string")))
-        # the other half as text rides in a one-element array, so it is made once a round
-        return F.flatten(F.transform(F.array(other), lambda text: F.transform(now, lambda c, i: F.struct(F.when(left == (i < c.h), F.pmod(c.v + F.lit(sign) * F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), i.cast("string"), text), 256), 1, 12), 16, 10).cast("bigint"), c.r)).otherwise(c.v).alias("v"), c.r.alias("r"), c.o.alias("o"), c.h.alias("h")))))
+        told = F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.concat_ws(",", F.transform(rest, lambda c: c.v.cast("string"))))
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((mine - 1) / CELLS).cast("int")))
+        digest = F.concat_ws("", F.transform(F.array(told), lambda t: F.concat_ws("", F.transform(blocks, lambda j: F.sha2(F.concat_ws("|", t, j.cast("string")), 512)))))
+
+        def cell(text: Column, c: Column, i: Column) -> Column:
+            at = F.when(left, i).otherwise(i - c.h)
+            added = F.conv(text.substr(8 * at + 1, F.lit(8)), 16, 10).cast("bigint")
+            return F.struct(F.when(left == (i < c.h), F.pmod(c.v + F.lit(sign) * added, c.r)).otherwise(c.v).alias("v"), c.r.alias("r"), c.h.alias("h"))
+
+        # the digest rides in a one-element array, so it is made once a round
+        return F.flatten(F.transform(F.array(digest), lambda text: F.transform(now, lambda c, i: cell(text, c, i))))
 
-    return F.aggregate(F.lit(list(order)), state, one)
+    return F.transform(F.aggregate(F.lit(list(order)), state, one), lambda c: c.v)
 
 
 def _cells(values: list[Column], radices: list[int]) -> Column:
-    return F.array(*[F.struct(v.cast("bigint").alias("v"), F.lit(r).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("o")) for v, r in zip(values, radices, strict=True)])
+    return F.array(*[F.struct(v.cast("bigint").alias("v"), F.lit(r).cast("bigint").alias("r")) for v, r in zip(values, radices, strict=True)])
 
 
-def _characters(text: Column, fixed: Column, first: Column, key: str, kind: str, sign: int) -> Column:
-    """Permutes digits as digits and letters as letters of their case, place by place.
+def _digits(m: Column) -> Column:
+    """The digits of m as an array of strings; separators have no part in a value."""
+    return F.regexp_extract_all(m, F.lit("([0-9])"), 1)
 
-    fixed: array of 0-based places that stay; first: places whose digit runs from 2 to 9.
-    """
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    def cell(c: Column, i: Column) -> Column:
-        code = F.ascii(c)
-        shape = (
-            F.when(F.array_contains(fixed, i), F.lit(0))
-            .when(F.array_contains(first, i), F.lit(850))
-            .when(code.between(48, 57), F.lit(1048))
-            .when(code.between(97, 122), F.lit(2697))
-            .when(code.between(65, 90), F.lit(2665))
-            .otherwise(F.lit(0))
-        )  # 100 * radix + offset; 0: a place that stays
-        return F.struct(F.when(shape == 0, 0).otherwise(code - F.pmod(shape, F.lit(100))).alias("v"), F.when(shape == 0, 1).otherwise(F.floor(shape / 100)).alias("r"), F.when(shape == 0, code).otherwise(F.pmod(shape, F.lit(100))).alias("o"))
 
-    return F.concat_ws("", F.transform(_feistel(F.transform(chars, cell), key, kind, sign), lambda x: F.chr(x.v + x.o)))
+def _written(m: Column, places: str, new: Column) -> Column:
+    """m with each character that `places` matches replaced by the next of `new`."""
+    return F.array_join(F.zip_with(F.split(m, places, -1), new, lambda kept, c: F.concat(kept, F.coalesce(c, F.lit("")))), "")
+
 
+def _tens(digits: Column) -> Column:
+    return F.transform(digits, lambda d: F.struct(d.cast("bigint").alias("v"), F.lit(10).cast("bigint").alias("r")))
 
-def _no_places() -> Column:
-    return F.array().cast("array<int>")
+
+def _texts(values: Column) -> Column:
+    return F.transform(values, lambda v: v.cast("string"))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -118,27 +125,29 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str, sign: int) -> tuple[Column, Column]:
-    valid = _luhn(m)
-    new = _characters(m.substr(F.lit(1), F.length(m) - 1), F.array(F.lit(0)), _no_places(), key, "card", sign)
-    check = F.pmod(-_luhn_sum(F.regexp_replace(new, "[^0-9]", "")), F.lit(10))
-    return valid, F.concat(new, check.cast("string"))
+    digits = _digits(m)
+    n = F.size(digits)
+    middle = _texts(_feistel(_tens(F.slice(digits, F.lit(2), n - 2)), key, "card", sign))
+    lead = F.concat(F.slice(digits, 1, 1), middle)
+    check = F.pmod(-_luhn_sum(F.array_join(lead, "")), F.lit(10))
+    return _luhn(m), _written(m, "[0-9]", F.concat(lead, F.array(check.cast("string"))))
 
 
 def _ip(m: Column, key: str, sign: int) -> tuple[Column, Column]:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     valid = F.forall(octets, lambda x: x < 256)
     new = _feistel(_cells([F.get(octets, F.lit(i)) for i in range(4)], [256] * 4), key, "ip", sign)
-    return valid, F.concat_ws(".", F.transform(new, lambda x: x.v.cast("string")))
+    return valid, F.array_join(_texts(new), ".")
 
 
 def _ssn(m: Column, key: str, sign: int) -> tuple[Column, Column]:
     part = F.transform(F.split(m, "-"), lambda x: x.cast("int"))
     a, g, s = (F.get(part, F.lit(i)) for i in range(3))
     valid = (a > 0) & (a != 666) & (a < 900) & (g > 0) & (s > 0)
-    new = F.transform(_feistel(_cells([F.when(a < 666, a - 1).otherwise(a - 2), g - 1, s - 1], [898, 99, 9999]), key, "ssn", sign), lambda x: x.v)
+    new = _feistel(_cells([F.when(a < 666, a - 1).otherwise(a - 2), g - 1, s - 1], [898, 99, 9999]), key, "ssn", sign)
     area = F.get(new, F.lit(0))
-    out = F.concat_ws("-", F.lpad(F.when(area < 665, area + 1).otherwise(area + 2).cast("string"), 3, "0"), F.lpad((F.get(new, F.lit(1)) + 1).cast("string"), 2, "0"), F.lpad((F.get(new, F.lit(2)) + 1).cast("string"), 4, "0"))
-    return valid, out
+    parts = (F.when(area < 665, area + 1).otherwise(area + 2), F.get(new, F.lit(1)) + 1, F.get(new, F.lit(2)) + 1)
+    return valid, F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4), strict=True)])
 
 
 def _date(m: Column, key: str, sign: int) -> tuple[Column, Column]:
@@ -147,7 +156,7 @@ def _date(m: Column, key: str, sign: int) -> tuple[Column, Column]:
     day = F.datediff(F.coalesce(*tried), F.lit("1800-01-01").cast("date"))
     valid = F.coalesce((day >= 0) & (day < 146_097), F.lit(False))
     safe = F.when(valid, day).otherwise(0)
-    new = F.transform(_feistel(_cells([F.floor(safe / 773), F.pmod(safe, F.lit(773))], [189, 773]), key, "date", sign), lambda x: x.v)
+    new = _feistel(_cells([F.floor(safe / 773), F.pmod(safe, F.lit(773))], [189, 773]), key, "date", sign)
     to = F.date_add(F.lit("1800-01-01").cast("date"), (F.get(new, F.lit(0)) * 773 + F.get(new, F.lit(1))).cast("int"))
     out = (
         F.when(F.substring(m, 5, 1) == "-", F.date_format(to, "yyyy-MM-dd"))
@@ -159,23 +168,30 @@ def _date(m: Column, key: str, sign: int) -> tuple[Column, Column]:
 
 
 def _phone(m: Column, key: str, sign: int) -> tuple[Column, Column]:
-    """Numbers with +1 or without + are North American: area and exchange begin with 2 to 9."""
-    chars = F.filter(F.split(m, ""), lambda c: c != "")
-    places = F.filter(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), i).otherwise(-1)), lambda i: i >= 0)
-    digits = F.regexp_replace(m, "[^0-9]", "")
+    """Numbers with +1 or without + are North American: ten digits, area and exchange beginning with 2 to 9."""
+    digits = _digits(m)
     plus = m.startswith("+")
-    american = F.when(plus, (F.length(digits) == 11) & digits.startswith("1")).otherwise(True)
-    lead = F.when(plus & american, 1).otherwise(0)
-    shaped = digits.substr(lead + 1, F.lit(10)).rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
-    valid = ~american | shaped
-    fixed = F.when(american, F.slice(places, F.lit(1), lead)).otherwise(F.slice(places, 1, 2))
-    first = F.when(american & shaped, F.array(F.get(places, lead), F.get(places, lead + 3))).otherwise(_no_places())
-    return valid, _characters(m, fixed, first, key, "phone", sign)
+    american = F.when(plus, (F.size(digits) == 11) & (F.get(digits, F.lit(0)) == "1")).otherwise(True)
+    kept = F.when(american, F.when(plus, 1).otherwise(0)).otherwise(2)
+    rest = F.slice(digits, kept + 1, F.size(digits) - kept)
+    valid = ~american | F.array_join(rest, "").rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+
+    def cell(d: Column, i: Column) -> Column:
+        least = F.when(american & valid & i.isin(0, 3), 2).otherwise(0)
+        return F.struct((d.cast("bigint") - least).alias("v"), (F.lit(10) - least).cast("bigint").alias("r"))
+
+    new = F.transform(_feistel(F.transform(rest, cell), key, "phone", sign), lambda v, i: (v + F.when(american & valid & i.isin(0, 3), 2).otherwise(0)).cast("string"))
+    return valid, _written(m, "[0-9]", F.concat(F.slice(digits, F.lit(1), kept), new))
 
 
 def _email(m: Column, key: str, sign: int) -> tuple[Column, Column]:
+    """Letters become letters of their case and digits digits; case has no part in the value."""
     local = F.substring_index(m, "@", 1)
-    return F.lit(True), F.concat(_characters(local, _no_places(), _no_places(), key, "email", sign), m.substr(F.length(local) + 1, F.length(m)))
+    chars = F.regexp_extract_all(local, F.lit("([A-Za-z0-9])"), 1)
+    least = lambda c: F.when(c <= "9", 48).when(c <= "Z", 65).otherwise(97)
+    cells = F.transform(chars, lambda c: F.struct((F.ascii(c) - least(c)).cast("bigint").alias("v"), F.when(c <= "9", 10).otherwise(26).cast("bigint").alias("r")))
+    new = F.zip_with(chars, _feistel(cells, key, "email", sign), lambda c, v: F.chr(v + least(c)))
+    return F.lit(True), F.concat(_written(local, "[A-Za-z0-9]", new), m.substr(F.length(local) + 1, F.length(m)))
 
 
 def _whole(pattern: str) -> str:
@@ -193,24 +209,29 @@ def _mapped(m: Column, key: str, sign: int) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", restore: bool = False) -> DataFrame:
-    """docs with its text's values permuted under the key, and `pii_kinds`: the kind of each value replaced, in order.
+def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", kinds_col: str = "pii_kinds", restore: bool = False) -> DataFrame:
+    """docs with its text's values permuted under the key, and kinds_col (an input column of that name is replaced):
+    the kind of each value replaced, in order.
 
-    restore undoes an earlier call with the same key.
+    restore undoes an earlier call with the same key. The key stands in Spark's plans: let spark.redaction.string.regex
+    match it where plans are logged.
     """
-    text, none = F.col(text_col), F.array().cast("array<string>")
+    cards, pattern, found, new = fresh(docs, "cards", "pattern", "found", "new")
+    text, none = F.col(f"`{text_col}`"), F.array().cast("array<string>")
     may = text.rlike("[0-9@]")
     runs = [F.regexp_extract_all(text, F.lit(f"(?<![0-9])(?=({form})(?![0-9]))"), 1) for form in CARD_FORMS]
-    held = docs.withColumn("_cards", F.when(text.rlike(r"(?<![0-9])[2-6](?:[ -]?[0-9]){12}"), F.array_distinct(F.filter(F.concat(*runs), _luhn))))
+    held = docs.withColumn(cards, F.when(text.rlike(r"(?<![0-9])[2-6](?:[ -]?[0-9]){12}"), F.array_distinct(F.filter(F.concat(*runs), _luhn))))
     # other groupings get one try, in what the values of a fixed form leave
-    left = F.regexp_replace(text, _pattern(_alternatives(F.col("_cards"))), F.lit("#"))
+    left = F.regexp_replace(text, _pattern(_alternatives(F.col(cards))), F.lit("#"))
     odd = F.filter(F.regexp_extract_all(left, F.lit(f"({CARD})"), 1), _luhn)
-    held = held.withColumn("_cards", F.when(F.col("_cards").isNotNull(), F.array_distinct(F.concat("_cards", odd))).otherwise(none))
-    held = held.withColumn("_pattern", F.when(F.size("_cards") > 0, _pattern(_alternatives(F.col("_cards")))).otherwise(_pattern(F.lit("")))).drop("_cards")
-    found = F.regexp_extract_all(text, F.concat(F.lit("("), F.col("_pattern"), F.lit(")")), 1)
-    held = held.withColumn("_found", F.when(may, found).otherwise(none))
-    some = F.size("_found") > 0
-    held = held.withColumn("_new", F.when(some, F.transform("_found", lambda m: _mapped(m, key, -1 if restore else 1))).otherwise(F.array().cast("array<struct<kind:string,new:string>>")))
-    rest = F.split(text, F.col("_pattern"), -1)
-    joined = F.array_join(F.zip_with(rest, F.transform("_new", lambda x: x.new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return held.withColumns({text_col: F.when(some, joined).otherwise(text), "pii_kinds": F.filter(F.transform("_new", lambda x: x.kind), lambda k: k.isNotNull())}).drop("_pattern", "_found", "_new")
+    held = held.withColumn(cards, F.when(F.col(cards).isNotNull(), F.array_distinct(F.concat(F.col(cards), odd))).otherwise(none))
+    held = held.withColumn(pattern, F.when(F.size(cards) > 0, _pattern(_alternatives(F.col(cards)))).otherwise(_pattern(F.lit("")))).drop(cards)
+    matches = F.regexp_extract_all(text, F.concat(F.lit("("), F.col(pattern), F.lit(")")), 1)
+    held = held.withColumn(found, F.when(may, matches).otherwise(none))
+    some = F.size(found) > 0
+    mapped = F.transform(found, lambda m: _mapped(m, key, -1 if restore else 1))
+    held = held.withColumn(new, F.when(some, mapped).otherwise(F.array().cast("array<struct<kind:string,new:string>>")))
+    rest = F.split(text, F.col(pattern), -1)
+    joined = F.array_join(F.zip_with(rest, F.transform(new, lambda x: x.new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    kinds = F.filter(F.transform(new, lambda x: x.kind), lambda k: k.isNotNull())
+    return held.withColumns({text_col: F.when(some, joined).otherwise(text), kinds_col: kinds}).drop(pattern, found, new)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import contamination, language, ngram_join, pieces, pseudonyms, secrets, shards, substrings, topk, toxicity
 from lodestone.llm.tables import crc_mod
 
-#: The setting that holds the key of the pseudonyms; the value below serves where it is unset.
+#: The setting that holds the key of the pseudonyms. Where it is unset, the session gets a random key.
 PII_KEY = "spark.lodestone.pii.key"
 
 
@@ -17,7 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get(PII_KEY, "an unkept example key")
+    """The key that is set; otherwise one drawn at random for this session: values are linked within it and restored by nobody later."""
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        key = token_hex(32)
+        spark.conf.set(PII_KEY, key)
+    return key
 
 
 def _held(column: str, n: int, remainder: int):
