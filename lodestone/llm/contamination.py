@@ -6,11 +6,15 @@ is exact. One Aho-Corasick pass over each document finds all exact pieces of all
 Myers' bit-parallel algorithm gives the least edit distance of the item in the window where it can lie,
 and the occurrence counts if that is at most k.
 
-The items are taken in blocks of at most BLOCK_CHARS characters, each block one pass, so the automaton's size is
-bounded whatever the benchmark's size. Documents are streamed; no pair of documents ever meets.
-
-Defined results: null and blank texts and items match nothing; an item shorter than min_chars after
-normalising is matched exactly only (k = 0); repeated items are reported under each id. Extra columns are ignored.
+The items are taken in blocks of about BLOCK_CHARS characters (an item is never cut, so a longer one is a block), one
+pass over the documents for each; where there are several, each pass is written before the next block is read, so the
+driver and every task hold one block and one automaton. Documents are streamed; no pair of documents ever meets.
+
+Defined results: null and blank texts and items match nothing; an item shorter than min_chars after normalising
+is matched exactly only (k = 0) and only between word boundaries, as inside other words a short string proves
+nothing; an item shorter than least_chars is too short to tell a leak from chance and matches nothing. Repeated
+items are reported under each id, items with a null id under null. Empty tables of documents or items give no match.
+Extra columns are ignored by `contaminated` and kept by `decontaminated`.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import arrow_rows, lean, with_text
+from lodestone.llm.tables import arrow_rows, discard, lean, with_text, written
 
 BLOCK_CHARS = 4_000_000
 
@@ -66,13 +70,19 @@ def myers(peq: dict[str, int], m: int, window: str) -> tuple[int, int]:
     return best, at
 
 
+def apart(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither begins nor ends inside a word."""
+    inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not inside(start) and not inside(end)
+
+
 class Matcher:
-    def __init__(self, items: list[tuple[object, str]], rate: float, min_chars: int):
-        self.items, self.automaton = [], ahocorasick.Automaton()
+    def __init__(self, items: list[tuple[object, str]], rate: float, min_chars: int, least_chars: int):
+        self.items, self.automaton, self.min_chars = [], ahocorasick.Automaton(), min_chars
         where: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             item = normalised(text or "")
-            if not item:
+            if len(item) < max(1, least_chars):
                 continue
             k = int(len(item) * rate) if len(item) >= min_chars else 0
             for offset, piece in pieces(item, k):
@@ -97,11 +107,13 @@ class Matcher:
                     continue
                 start = last + 1 - size - offset
                 lo, hi = max(0, start - k), min(len(text), start + len(item) + k)
-                if any(a <= lo and hi <= b for a, b in tried.get(i, ())):
+                if k and any(a <= lo and hi <= b for a, b in tried.get(i, ())):
                     continue
-                tried.setdefault(i, []).append((lo, hi))
-                if text.startswith(item, start) if start >= 0 else False:
-                    best[i] = (0, start + len(item))
+                if k:
+                    tried.setdefault(i, []).append((lo, hi))
+                if start >= 0 and text.startswith(item, start):
+                    if len(item) >= self.min_chars or apart(text, start, start + len(item)):
+                        best[i] = (0, start + len(item))
                     continue
                 if k == 0:
                     continue
@@ -111,10 +123,10 @@ class Matcher:
         return [(self.items[i][0], d, end) for i, (d, end) in sorted(best.items())]
 
 
-def _match_batches(items: list, rate: float, min_chars: int, of):
+def _match_batches(items: list, limits: tuple, of):
     @lean
     def run(batches):
-        matcher = Matcher(items, rate, min_chars)
+        matcher = Matcher(items, *limits)
         for batch in batches:
             rows, keys, dist, ends = [], [], [], []
             for row, text in enumerate(of(batch).to_pylist()):
@@ -129,40 +141,74 @@ def _match_batches(items: list, rate: float, min_chars: int, of):
     return run
 
 
-def _clean_batches(items: list, rate: float, min_chars: int, of):
+def _clean_batches(items: list, limits: tuple, of):
     @lean
     def run(batches):
-        matcher = Matcher(items, rate, min_chars)
+        matcher = Matcher(items, *limits)
         for batch in batches:
             yield batch.filter(pa.array([not x or not matcher.find(x) for x in of(batch).to_pylist()], pa.bool_()))
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str):
+class _Blocks:
     """The items, a block of bounded size at a time."""
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    for b in range(blocks):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()]
-
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.05, min_chars: int = 40, text_col: str = "text", item_text_col: str = "text", item_id_col: str = "item_id", keep: list[str] | None = None) -> DataFrame:
+    def __init__(self, benchmark: DataFrame, item_id_col: str, item_text_col: str, block_chars: int):
+        self.items = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
+        chars = self.items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
+        self.n = max(1, -(-chars // block_chars))
+
+    def __iter__(self):
+        for b in range(self.n):
+            yield [tuple(r) for r in self.items.where(F.pmod(F.xxhash64("i", "t"), F.lit(self.n)) == b).orderBy("i", "t").collect()]
+
+
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    rate: float = 0.05,
+    min_chars: int = 40,
+    least_chars: int = 12,
+    text_col: str = "text",
+    item_text_col: str = "text",
+    item_id_col: str = "item_id",
+    keep: list[str] | None = None,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
     """One row for each document and item that occurs in it: kept columns (doc_id by default), item_id, distance, end_char."""
     arrow_rows(docs.sparkSession)
     df, key, texts = with_text(docs, keep or ["doc_id"], text_col)
-    out = None
-    for block in _blocks(benchmark, item_id_col, item_text_col):
-        part = df.mapInArrow(_match_batches(block, rate, min_chars, texts), f"{key}, item_id long, distance int, end_char int")
+    out, blocks = None, _Blocks(benchmark, item_id_col, item_text_col, block_chars)
+    for block in blocks:
+        part = df.mapInArrow(_match_batches(block, (rate, min_chars, least_chars), texts), f"{key}, item_id long, distance int, end_char int")
+        part = written(part) if blocks.n > 1 else part
         out = part if out is None else out.unionByName(part)
     return out.select("key.*", "item_id", "distance", "end_char")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.05, min_chars: int = 40, text_col: str = "text", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:
+def decontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    rate: float = 0.05,
+    min_chars: int = 40,
+    least_chars: int = 12,
+    text_col: str = "text",
+    item_text_col: str = "text",
+    item_id_col: str = "item_id",
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
     """The rows of docs, all columns, in which no item occurs."""
     arrow_rows(docs.sparkSession)
     df, key, texts = with_text(docs, docs.columns, text_col)
-    for block in _blocks(benchmark, item_id_col, item_text_col):
-        df = df.mapInArrow(_clean_batches(block, rate, min_chars, texts), key)
+    before, blocks = None, _Blocks(benchmark, item_id_col, item_text_col, block_chars)
+    for block in blocks:
+        df = df.mapInArrow(_clean_batches(block, (rate, min_chars, least_chars), texts), key)
+        if blocks.n > 1:
+            df = written(df)
+            if before is not None:
+                discard(before)
+            before = df
     return df.select("key.*")

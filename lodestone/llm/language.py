@@ -6,20 +6,22 @@ word's best language and floored. Scripts come first: a language is a candidate
 if the language's training text uses the word's script. Viterbi with one penalty for every
 switch then labels each word, and runs of equal labels are the spans.
 
-Defined results: null text, empty text and text without a letter give `und`, score 0 and no
+Defined results: an empty table gives an empty table; null text, empty text and text without a letter give `und`, score 0 and no
 spans. Words without letters belong to the span around them. Ties go to the language first in
-alphabetical order. Extra columns of the input are ignored except those asked for in `keep`.
+alphabetical order. A model that has learned no language gives `und` to every text. Extra columns of the input are ignored except those asked for in `keep`.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.tables import arrow_rows, lean, sampled, with_text
@@ -150,23 +152,29 @@ def train(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
-    sample_rows: int = 4000,
+    rows_a_language: int = 1000,
     longest: int = 3,
     max_grams: int = 60_000,
     script_share: float = 0.01,
     switch_penalty: float = 14.0,
     floor: float = 10.0,
 ) -> LanguageModel:
-    """Fit on `text` and `lang` of a sample of about sample_rows rows; at most max_grams n-grams are kept."""
+    """Fit on `text` and `lang` of about rows_a_language rows of each language, however rare it is in the table.
+
+    Of each language's n-grams the max_grams most frequent are kept, whatever the other languages have.
+    """
     arrow_rows(docs.sparkSession)
-    rows = sampled(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(id_col, "lang", "text"), id_col, sample_rows)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("_text"))
+    rows = sampled(known, "_id", rows_a_language, "_lang")
     counts = (
-        rows.select("lang", "text")
+        rows.select("_lang", "_text")
         .mapInArrow(_count_batches(longest), "lang string, kind string, key string, n long")
         .groupBy("lang", "kind", "key")
         .agg(F.sum("n").alias("n"))
     )
-    kept = counts.orderBy(F.when(F.col("kind") == "script", 0).otherwise(1), F.desc("n"), "key", "lang").limit(max_grams).toArrow().to_pylist()
+    # the n-grams of a bounded sample: a window by language holds no more than these
+    nth = F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
+    kept = counts.withColumn("nth", nth).where(F.col("nth") <= max_grams).drop("nth").orderBy("kind", "lang", F.desc("n"), "key").toArrow().to_pylist()
     langs = sorted({r["lang"] for r in kept})
     at = {x: i for i, x in enumerate(langs)}
     letters = {x: Counter() for x in langs}
@@ -199,7 +207,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     A text whose best single language can't be bettered by any excursion (no run of words gains
     the others more than one penalty) is settled at once; the rest run side by side, longest first.
     """
-    out: list[np.ndarray] = [np.zeros(len(s), dtype=np.int8) for s in scores]
+    out: list[np.ndarray] = [np.zeros(len(s), dtype=np.int16) for s in scores]
     hard = []
     for i, s in enumerate(scores):
         if not len(s) or s.shape[1] < 2:
@@ -219,7 +227,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     flat = np.concatenate([scores[i] for i in hard])
     stay = np.ones((len(flat), k), dtype=bool)
-    source = np.zeros(len(flat), dtype=np.int8)
+    source = np.zeros(len(flat), dtype=np.int16)
     value = flat[offsets[:-1]].copy()
     for t in range(1, int(lengths[0])):
         m = int(np.searchsorted(-lengths, -t, side="left"))
@@ -232,7 +240,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         source[rows] = top
         value[:m] = np.where(keep, v, jump) + flat[rows]
     state = value.argmax(axis=1)
-    path = np.zeros(len(flat), dtype=np.int8)
+    path = np.zeros(len(flat), dtype=np.int16)
     for t in range(int(lengths[0]) - 1, -1, -1):
         m = int(np.searchsorted(-lengths, -t, side="left"))
         rows = offsets[:m] + t
@@ -315,12 +323,16 @@ _OUTER = ".,;:!?()\"'&%$*|#[]{}<>-"
 SPANS = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
 
 
-def label(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def label(
+    docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str] | None = None, names: Sequence[str] = ("lang_pred", "score", "spans")
+) -> DataFrame:
     """Each row's kept columns (doc_id by default) with lang_pred, score (share of letters in spans of that language) and spans.
 
+    names: what these three are called, where a kept column has such a name.
+
     spans: words (split at white space) [first_word, end_word) with one language each.
     """
     arrow_rows(docs.sparkSession)
     df, key, texts = with_text(docs, keep or ["doc_id"], text_col)
     out = df.mapInArrow(_label_batches(model, texts), f"{key}, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>")
-    return out.select("key.*", "lang_pred", "score", "spans")
+    return out.select("key.*", *[F.col(c).alias(name) for c, name in zip(("lang_pred", "score", "spans"), names, strict=True)])

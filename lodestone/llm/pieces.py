@@ -276,27 +276,26 @@ def _encode_batches(model: PieceModel, digest: bool):
         is_byte = np.array([kind == BYTE for _, _, kind in model.pieces])
         for batch in batches:
             texts = of(batch).to_pylist()
+            packed = [None if x is None else codec.packed(x) for x in texts]
+            offsets = np.concatenate(([0], np.cumsum([len(x or b"") // 4 for x in packed]))).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(x for x in packed if x), dtype=np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([x is None for x in packed], pa.bool_()))
             if not digest:
-                packed = [None if x is None else codec.packed(x) for x in texts]
-                offsets = np.concatenate(([0], np.cumsum([len(x or b"") // 4 for x in packed]))).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(x for x in packed if x), dtype=np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([x is None for x in packed], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["key", "ids"])
                 continue
             cols: list[list] = [[], [], [], []]
-            for x in texts:
+            for x, found in zip(texts, packed, strict=True):
                 if x is None:
                     for c in cols:
                         c.append(None)
                     continue
-                packed = codec.packed(x)
-                flat = np.frombuffer(packed, dtype=np.int32)
-                cols[0].append(len(flat))
-                cols[1].append(int(is_byte[flat].sum()))
-                cols[2].append(zlib.crc32(packed))
-                cols[3].append(codec.decode(array("i", packed)) == x)
+                cols[0].append(len(found) // 4)
+                cols[1].append(int(is_byte[np.frombuffer(found, dtype=np.int32)].sum()))
+                cols[2].append(zlib.crc32(found))
+                cols[3].append(codec.decode(array("i", found)) == x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["key", "n_ids", "n_bytes", "ids_crc32", "round_trip"])
+            told = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, *told], ["key", "ids", "n_ids", "n_bytes", "ids_crc32", "round_trip"])
 
     return run
 
@@ -313,8 +312,8 @@ def encode(docs: DataFrame, model: PieceModel, *, text_col: str = "text", keep:
 
 
 def encode_digest(docs: DataFrame, model: PieceModel, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """As encode, with the ids told by number, byte pieces and CRC-32 (little-endian int32), and whether decoding gives the text back."""
-    return _run(docs, _encode_batches(model, True), "n_ids long, n_bytes long, ids_crc32 long, round_trip boolean", text_col, keep)
+    """As encode, with the number of ids and of byte pieces, the CRC-32 of the ids (little-endian int32), and whether decoding gives the text back."""
+    return _run(docs, _encode_batches(model, True), "ids array<int>, n_ids long, n_bytes long, ids_crc32 long, round_trip boolean", text_col, keep)
 
 
 def decode(encoded: DataFrame, model: PieceModel, *, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ For every block of documents the operator indexes the trigrams that the rules as
 regex over the rows left. A rule without a mandatory trigram (the hex rule) scans every row.
 Parsing only ever weakens a query, so no match is lost; tests compare with a plain scan.
 
-Defined results: null and empty texts have no span; spans count code points, end exclusive, and
+Defined results: an empty table gives an empty table; null and empty texts have no span; spans count code points, end exclusive, and
 are sorted by start, then by the order of the rules. Extra columns are ignored.
 """
 
@@ -36,7 +36,8 @@ class Rule:
     group: int = 0
 
 
-#: Fixed patterns: the first three are the contract's, the rest name public token formats.
+#: Fixed patterns: the first three are the contract's, the rest name public token formats. None looks at a character more
+#: than a bounded number of times: a run that a rule can fail behind is only entered at its start.
 BASE_RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 16),
@@ -45,7 +46,7 @@ BASE_RULES = (
 ADDED_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("live", r"sk_live_[0-9a-zA-Z]{16,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
