@@ -46,6 +46,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def shortened(x: Column, n: int = 220) -> Column:
+    """Normalised, cut to n characters with an ellipsis as the last; null for null and empty text."""
+    t = normalise(x)
+    return F.when(F.coalesce(x, F.lit("")) == "", F.lit(None).cast("string")).when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 1), F.lit("…")))
+
+
 def ngrams(t: Column, n: int) -> Column:
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), "_"))).otherwise(t)
 
@@ -62,6 +68,16 @@ def timestamp_url(url: Column, seconds: Column) -> Column:
     return F.concat(url, F.when(F.contains(url, F.lit("?")), "&t=").otherwise("?t="), F.floor(seconds).cast("string"))
 
 
+def review_url(url: Column, seconds: Column) -> Column:
+    """The address with its parameter t set (not repeated) to whole seconds; a fragment stays last."""
+    stamp = F.concat(F.lit("t="), F.greatest(F.lit(0), F.floor(seconds)).cast("string"), F.lit("s"))
+    bare, mark = F.substring_index(url, "#", 1), F.when(url.contains("#"), F.concat(F.lit("#"), F.regexp_extract(url, "(?s)#(.*)$", 1))).otherwise("")
+    set_ = F.regexp_replace(bare, r"([?&])t=[^&]*", "$1\u0001")
+    first = F.regexp_replace(F.regexp_replace(set_, "^([^\u0001]*)\u0001", "$1\u0002"), "&?\u0001", "")
+    put = F.when(first.contains("\u0002"), F.replace(first, F.lit("\u0002"), stamp)).otherwise(F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), stamp))
+    return F.concat(put, mark)
+
+
 def truncated(x: Column, n: int) -> Column:
     return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n - 3), F.lit("..."))).otherwise(x)
 
@@ -70,13 +86,39 @@ def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def slug_id(prefix: str, name: Column, given: Column | None = None) -> Column:
+    """The given id, trimmed, if it isn't blank; else prefix-slug of the name, or a hash of the name where the slug is empty."""
+    made = slug(F.trim(name))
+    out = F.when(made != "", F.concat(F.lit(prefix + "-"), made)).otherwise(hash_id(prefix, name))
+    return out if given is None else F.when(F.trim(F.coalesce(given, F.lit(""))) != "", F.trim(given)).otherwise(out)
+
+
+def plain_number(x: Column) -> Column:
+    """A number as text, without a fraction of zero."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
 def hash_id(prefix: str, *parts: Column) -> Column:
     """prefix-32 hex digits of SHA-256 over prefix and parts, nulls as empty text."""
     return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(F.concat_ws("|", F.lit(prefix), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 32))
 
 
+def _balanced(u: Column) -> Column:
+    """Without closing brackets at the end that nothing opens."""
+    count = lambda c: F.regexp_count(u, F.lit("\\" + c))
+    tail = F.length(F.regexp_extract(u, r"(\)*)$", 1))
+    return F.substring(u, F.lit(1), F.length(u) - F.least(F.greatest(count(")") - count("("), F.lit(0)), tail))
+
+
 def urls(x: Column) -> Column:
-    return F.transform(F.regexp_extract_all(x, F.lit(r"(https?://[^\s<>\"']+)"), 1), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    """Distinct web addresses in order, without punctuation at the end and unopened brackets."""
+    found = F.regexp_extract_all(x, F.lit(r"(https?://[^\s>\]]+)"), 1)
+    return F.array_distinct(F.transform(found, lambda u: _balanced(F.regexp_replace(u, r"[.,!?]+$", ""))))
+
+
+def host(url: Column) -> Column:
+    """Lower-case host name; null where there is none."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
 def without_markup(x: Column) -> Column:
@@ -122,7 +164,8 @@ def sentences(x: Column) -> Column:
 
 
 def estimated_tokens(x: Column) -> Column:
-    return F.ceil(F.length(x) / 4).cast("long")
+    """A quarter of the characters, white space normalised; 0 for null."""
+    return F.coalesce(F.ceil(F.length(normalise(x)) / 4), F.lit(0)).cast("long")
 
 
 def heuristic_confidence(x: Column) -> Column:

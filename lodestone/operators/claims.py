@@ -63,9 +63,11 @@ def related(nodes: DataFrame, edges: DataFrame, claim: str, drafts: bool = False
     return out if limit is None else out.limit(limit)
 
 
-def dossiers(nodes: DataFrame, edges: DataFrame, states: tuple[str, ...] = ("accepted",)) -> DataFrame:
+def dossiers(nodes: DataFrame, edges: DataFrame, states: tuple[str, ...] = ("accepted",), level: str = "#") -> DataFrame:
     """(resource_id, title, n_claims, markdown): each resource's claims by time and id, numbered, with excerpt, metadata and
-    references; a resource without claims says so. Without an excerpt a claim's own start is its time."""
+    references; a resource without claims says so. Without an excerpt a claim's own start is its time.
+
+    level: # for a document of its own, ## for a section of a playlist's."""
     urls = nodes.where("type = 'Reference'").select(F.col("id").alias("object"), meta("url").alias("u")).where("u <> ''")
     cited = edges.where("predicate = 'claimMentionsReference'").join(urls, "object").groupBy(F.col("subject").alias("id")).agg(F.array_sort(F.collect_set("u")).alias("urls"))
     rows = located(nodes, edges).where(F.col("state").isin(*states)).join(cited, "id", "left")
@@ -86,9 +88,11 @@ def dossiers(nodes: DataFrame, edges: DataFrame, states: tuple[str, ...] = ("acc
     numbered = F.array_join(F.transform("c", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c["line"])), "\n")
     listed = F.array_join(F.transform("urls", lambda u: F.concat(F.lit("- "), u)), "\n")
     or_none = lambda c, found, none: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, found).otherwise(none)
+    alone = level == "#"
+    about = [said("- Channel: ", F.col("channel")), F.concat(F.lit("- Video: "), F.coalesce("url", F.lit("")))]
     body = F.concat_ws(
-        "\n", F.concat(F.lit("# Dossier: "), F.coalesce("title", F.lit(""))), F.lit(""), said("- Channel: ", F.col("channel")), F.concat(F.lit("- Video: "), F.coalesce("url", F.lit(""))), F.lit(""),
-        F.lit("## Claims"), F.lit(""), or_none("c", numbered, "_No claims extracted._"), F.lit(""), F.lit("## References"), F.lit(""), or_none("urls", listed, "_No references extracted._"), F.lit(""),
+        "\n", F.concat(F.lit("# Dossier: " if alone else f"{level} "), F.coalesce("title", F.lit(""))), F.lit(""), *(about if alone else about[::-1]), F.lit(""),
+        F.lit(f"{level}# Claims"), F.lit(""), or_none("c", numbered, "_No claims extracted._"), F.lit(""), F.lit(f"{level}# References"), F.lit(""), or_none("urls", listed, "_No references extracted._"), F.lit(""),
     )
     return all_.select("resource_id", "title", F.greatest(F.coalesce(F.size("c"), F.lit(0)), F.lit(0)).alias("n_claims"), body.alias("markdown"))
 
@@ -107,6 +111,23 @@ def diagnosis(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return claims.join(sourced, "id", "left").groupBy("resource_id", "state", "method").agg(F.count("*").alias("claims"), F.count_if(F.col("_s").isNull()).alias("without_source"))
 
 
+def transcript_diagnosis(excerpts: DataFrame) -> DataFrame:
+    """(video, start, duration, text) -> (video, segments, seconds, first, last): their number, summed durations, the earliest start
+    and where the latest one ends."""
+    length = F.coalesce("duration", F.lit(0.0))
+    last = F.max_by(F.col("start") + length, F.struct("start", length.alias("d")))
+    return excerpts.groupBy("video").agg(F.count("*").alias("segments"), F.sum(length).alias("seconds"), F.min("start").alias("first"), last.alias("last"))
+
+
+def issues(diagnosed: DataFrame, transcript: DataFrame) -> DataFrame:
+    """(resource_id, issue) of `diagnosis` and of resources with excerpts or without (resource_id, excerpts): no transcript, no claims,
+    claims that derive from nothing."""
+    totals = diagnosed.groupBy("resource_id").agg(F.sum("claims").alias("claims"), F.sum("without_source").alias("bare"))
+    rows = transcript.select("resource_id", "excerpts").join(totals, "resource_id", "left").na.fill(0)
+    found = F.array(F.when(F.col("excerpts") == 0, "no-transcript"), F.when(F.col("claims") == 0, "no-claims"), F.when(F.col("bare") > 0, "claims-without-provenance"))
+    return rows.select("resource_id", F.explode(F.array_compact(found)).alias("issue"))
+
+
 def transcripts(excerpts: DataFrame) -> DataFrame:
     """(video, id, start, duration, end?, text) -> (video, n, seconds, segments): by start and id, with ends and durations filled in."""
     end = F.coalesce("end", F.col("start") + F.greatest(F.lit(0.0), F.coalesce("duration", F.lit(0.0))))

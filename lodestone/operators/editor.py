@@ -15,9 +15,10 @@ from functools import cmp_to_key
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
+from lodestone.functions import text, verify
 from lodestone.operators import segments
 
 # Word lists, patterns, weights and thresholds that decide results.
@@ -68,6 +69,33 @@ def too_short(x: Column, words: int = 8, chars: int = 50) -> Column:
     return few | F.lower(F.substring_index(t, " ", -1)).isin(*CONJUNCTIONS) | t.contains("...") | (F.regexp_count(t, F.lit(r"(?i)\b(?:uh|um)\b")) >= 3)
 
 
+def too_short_v1(x: Column) -> Column:
+    t = F.trim(x)
+    return (F.length(t) < 40) | (F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) < 6)
+
+
+def fragment(x: Column, words: int = 8, chars: int = 50) -> Column:
+    """As too_short, without the rule of fillers: what the metric counts."""
+    t = text.normalise(x)
+    few = (F.length(t) < chars) | (F.size(F.filter(F.split(t, " "), lambda w: w != "")) < words)
+    return few | F.lower(F.substring_index(t, " ", -1)).isin(*CONJUNCTIONS) | t.contains("...")
+
+
+def metrics(claims: DataFrame) -> DataFrame:
+    """(video, claims, fragments, boilerplate)."""
+    of = lambda c: F.count_if(c)
+    return claims.groupBy("video").agg(F.count("*").alias("claims"), of(fragment(F.col("text"))).alias("fragments"), of(boilerplate(F.col("text"))).alias("boilerplate"))
+
+
+def echoes(claims: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """claims with echo: the largest token overlap with an excerpt (video, id, content) of its own that has a text; null for
+    claims of fewer than 20 characters and without such an excerpt."""
+    known = excerpts.where("content <> ''").select("video", F.col("id").alias("excerpt_id"), "content")
+    each = claims.select("video", "id", F.lower(text.normalise(F.col("text"))).alias("t"), F.explode("excerpt_ids").alias("excerpt_id"))
+    near = each.where(F.length("t") >= 20).join(known, ["video", "excerpt_id"]).groupBy("video", "id").agg(F.max(verify.lexical(F.col("t"), F.col("content"))).alias("echo"))
+    return claims.join(near, ["video", "id"], "left")
+
+
 def actionability(x: Column) -> Column:
     t = F.lower(text.normalise(x))
     steps = sum((t.rlike(p).cast("int") for p in STEPS), F.lit(0))
@@ -144,11 +172,12 @@ def _before(a, b) -> int:
     return (x > y) - (x < y)
 
 
-def keep_first(group: pd.DataFrame) -> pd.DataFrame:
-    """The ranked candidates of a video without those that repeat a better one."""
+def keep_first(group: pd.DataFrame, semantic: bool = True) -> pd.DataFrame:
+    """The ranked candidates of a video without those that repeat a better one (semantic: in other words, too)."""
     group = group.reset_index(drop=True)
-    group["excerpts"] = [set() if e is None else set(e) for e in group["excerpt_ids"]]
-    ranked = sorted(group.itertuples(), key=cmp_to_key(_before))
+    columns = ["video", "id", "text", "start", "score"]
+    held = group[columns].assign(excerpts=[set() if e is None else set(e) for e in group["excerpt_ids"]])
+    ranked = sorted(held.itertuples(), key=cmp_to_key(_before))
     words = {r.Index: words_of(r.text, text.STOPWORDS) for r in ranked}
     keys, by_excerpt, first = set(), defaultdict(list), []
     for r in ranked:
@@ -162,6 +191,8 @@ def keep_first(group: pd.DataFrame) -> pd.DataFrame:
         for e in r.excerpts:
             by_excerpt[e].append((r.Index, len(r.excerpts)))
     by_word, kept = defaultdict(list), []
+    if not semantic:
+        return group.loc[[r.Index for r in first]]
     for r in first:
         shared = Counter(i for w in words[r.Index] for i in by_word[w])
         sure = (i for i, n in shared.items() if n / (len(words[i]) + len(words[r.Index]) - n) >= SEMANTIC)
@@ -170,19 +201,68 @@ def keep_first(group: pd.DataFrame) -> pd.DataFrame:
         kept.append(r.Index)
         for w in words[r.Index]:
             by_word[w].append(r.Index)
-    return group.loc[kept].drop(columns="excerpts")
+    return group.loc[kept]
+
+
+def deduped(scored: DataFrame, semantic: bool = True) -> DataFrame:
+    return scored.groupBy("video").applyInPandas(lambda group: keep_first(group, semantic), scored.schema)
+
+
+DROPPED = ("empty", "boilerplate", "fragment", "duplicate", "coverage")
+
+
+def _fates(claims: DataFrame, dropped: Column, semantic: bool, select) -> DataFrame:
+    """claims (with score) and fate: why a candidate goes, or selected. dropped: null for those that meet the dedupe."""
+    marked = claims.withColumn("_dropped", dropped)
+    unique = deduped(marked.where("_dropped IS NULL").select("video", "id", "text", "start", "score", "excerpt_ids", *(["chunk"] if "chunk" in claims.columns else [])), semantic)
+    chosen = select(unique).select("video", "id", F.lit("selected").alias("_chosen"))
+    passed = unique.select("video", "id", F.lit("coverage").alias("_passed")).join(chosen, ["video", "id"], "left")
+    fate = F.coalesce("_dropped", "_chosen", "_passed", F.lit("duplicate"))
+    return marked.join(passed, ["video", "id"], "left").withColumn("fate", fate).drop("_dropped", "_chosen", "_passed")
+
+
+def editor_fates(claims: DataFrame, most: int = 20, least_windows: int | Column = 4, cap: int = 2, threshold: float = 0.2) -> DataFrame:
+    """Second pass: scores; drops empty candidates, and boilerplate or fragments of a score up to the threshold; dedupes;
+    selects over the windows of a video. least_windows may be a column of `claims`."""
+    t = text.normalise(F.col("text"))
+    scored = claims.withColumn("score", score_v2(claims))
+    weak = F.col("score") <= threshold
+    dropped = F.when(t == "", "empty").when(boilerplate(t) & weak, "boilerplate").when(too_short(t) & weak, "fragment")
+    chunk = F.col("chunk") if "chunk" in claims.columns else None
+    wanted = least_windows if isinstance(least_windows, int) else None
+
+    def select(unique: DataFrame) -> DataFrame:
+        if wanted is not None:
+            return segments.diverse(unique, most, wanted, cap, chunk=chunk)
+        per_video = claims.groupBy("video").agg(F.first(least_windows).alias("_least"))
+        return segments.diverse(unique.join(per_video, "video"), most, F.col("_least"), cap, chunk=chunk)
+
+    return _fates(scored, dropped, True, select)
+
+
+def editor_fates_v1(claims: DataFrame, most: int = 20, chunks: int = 1) -> DataFrame:
+    """First pass: empty candidates, boilerplate and short ones go whatever their score; equal texts and shared excerpts are deduped;
+    the best of each chunk comes first."""
+    t = text.normalise(F.col("text"))
+    scored = claims.withColumn("score", score_v1(F.col("text"), F.col("confidence")))
+    dropped = F.when(t == "", "empty").when(boilerplate(t), "boilerplate").when(too_short_v1(t), "fragment")
+    return _fates(scored, dropped, False, lambda unique: segments.diverse_by_chunk(unique, most, chunks))
+
+
+def diagnostics(fates: DataFrame) -> DataFrame:
+    """(video, total, selected, and a count by reason): selected and dropped add up to the total."""
+    of = lambda fate: F.count_if(F.col("fate") == fate).alias(fate)
+    return fates.groupBy("video").agg(F.count("*").alias("total"), of("selected"), *map(of, DROPPED))
 
 
-def deduped(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("video").applyInPandas(keep_first, scored.schema)
+def output_order() -> list[Column]:
+    return [F.col("start").asc_nulls_last(), F.col("text"), F.array_join(F.array_sort(F.array_distinct("excerpt_ids")), "|")]
 
 
 def editor_pass(claims: DataFrame, most: int = 20) -> DataFrame:
-    """Scores, drops empty candidates and weak boilerplate or fragments, dedupes, then selects over the windows of a video."""
-    scored = claims.withColumn("score", score_v2(claims)).where(text.normalise(F.col("text")) != "")
-    poor = (boilerplate(F.col("text")) | too_short(F.col("text"))) & (F.col("score") <= 0.2)
-    best = segments.diverse(deduped(scored.where(~poor)).select("video", "id", "start", "score"), most)
-    return best.drop("rank")
+    """The second pass's selection: (video, id, start, score, window)."""
+    chosen = editor_fates(claims, most).where("fate = 'selected'")
+    return chosen.select("video", "id", "start", "score", segments.window_of(chunk=F.col("chunk") if "chunk" in claims.columns else None).alias("window"))
 
 
 def time_chunks(excerpts: DataFrame, minutes: float = 5, most: int = 0) -> DataFrame:
@@ -204,21 +284,123 @@ def time_chunks(excerpts: DataFrame, minutes: float = 5, most: int = 0) -> DataF
     return excerpts.select("video", "id", F.col("start").cast("double")).groupBy("video").applyInPandas(dealt, schema)
 
 
-def packed(sentences: list[str], most: int) -> list[str]:
-    """Sentences joined up to the token budget; one over the budget starts a chunk of its own and is split at words."""
-    size = lambda s: -(-len(s) // 4)
-    out, now, total = [], [], 0
-    for s in sentences:
-        over = size(s) > most
-        for i, unit in enumerate(s.split() if over else [s]):
-            if now and ((over and not i) or total + 1 + size(unit) > most):
-                out.append(" ".join(now))
-                now, total = [], 0
-            total += size(unit) + bool(now)
-            now.append(unit)
-    return out + ([" ".join(now)] if now else [])
+#: Tokens of a request from which a chunk ends in any case, and by how much a target may be passed before it ends anywhere.
+FORCED_TOKENS, SOFT = 6000, 1.25
+
+
+def _semantic_fold(rows: pd.DataFrame, target: int, hard: int, overlap: int, most: int) -> list[tuple[int, int]]:
+    """(chunk, row) in order, for rows with tokens, ends (whether a chunk may well end behind a row)."""
+    chunks: list[list[int]] = []
+    now: list[int] = []
+    tokens = rows["tokens"].tolist()
+    ends = rows["ends"].tolist()
+    total, n = 0, len(rows)
+    room = lambda: not most or len(chunks) < most - 1
+
+    def close() -> None:
+        nonlocal now, total
+        chunks.append(now)
+        now = now[-overlap:] if overlap else []
+        total = sum(tokens[i] for i in now)
+
+    for i in range(n):
+        if now and total + tokens[i] > hard and room():
+            close()
+        if not now:
+            now, total = [i], tokens[i]
+            continue
+        now = [*now, i]
+        total += tokens[i]
+        if i == n - 1 or not room():
+            continue
+        soft = total >= -(-target * SOFT // 1) and len(now) >= 2
+        if total > hard or total >= FORCED_TOKENS or total >= target and (ends[i] or soft):
+            close()
+    if now:
+        chunks.append(now)
+    return [(c, i) for c, rows_ in enumerate(chunks) for i in rows_]
+
+
+def semantic_chunks(excerpts: DataFrame, target: int = 1500, hard: int = 3000, overlap: int = 2, most: int = 0) -> DataFrame:
+    """(video, id, start, content) -> (video, chunk, place, id): chunks up to a token budget that end, if they can, behind a whole
+    sentence; each but the first begins with the last `overlap` excerpts of the one before.
+
+    The fold gets each excerpt's token count and flags, not its text; a video's excerpts are one task.
+    """
+    target = max(200, target)
+    hard = max(target, hard)
+    t = text.normalise(F.coalesce("content", F.lit("")))
+    order = W.partitionBy("video").orderBy("start", "id")
+    rows = excerpts.select("video", "id", F.coalesce(F.col("start").cast("double"), F.lit(0.0)).alias("start"), t.alias("t"))
+    following = F.coalesce(F.lead("t").over(order), F.lit(""))
+    ends = ~text.dangling(F.col("t")) & (F.coalesce(text.complete(F.col("t")), F.lit(False)) | ~text.starts_with_connector(following))
+    rows = rows.withColumn("tokens", text.estimated_tokens(F.col("t"))).withColumn("ends", ends).drop("t")
+
+    def dealt(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["start", "id"]).reset_index(drop=True)
+        found = _semantic_fold(group, target, hard, overlap, most)
+        out = group.loc[[i for _, i in found], ["video", "id"]].assign(chunk=[c for c, _ in found])
+        return out.assign(place=out.groupby("chunk").cumcount())[["video", "chunk", "place", "id"]]
+
+    kinds = {c: excerpts.schema[c].dataType.simpleString() for c in ("video", "id")}
+    return rows.groupBy("video").applyInPandas(dealt, f"video {kinds['video']}, chunk int, place int, id {kinds['id']}")
+
+
+def whole_chunk(excerpts: DataFrame) -> DataFrame:
+    """(video, chunk, place, id): all excerpts of a video as chunk 0, by start and id."""
+    start = F.coalesce(F.col("start").cast("double"), F.lit(0.0))
+    place = F.row_number().over(W.partitionBy("video").orderBy(start, "id")) - 1
+    return excerpts.select("video", F.lit(0).alias("chunk"), place.cast("int").alias("place"), "id")
+
+
+def halved(tokens: list[int], most: int) -> list[int]:
+    """The sizes of the runs that halving a run of these token counts gives, until each fits or is a single one."""
+    if sum(tokens) <= most or len(tokens) < 2:
+        return [len(tokens)]
+    middle = len(tokens) // 2
+    return halved(tokens[:middle], most) + halved(tokens[middle:], most)
+
+
+def budget_split(chunks: DataFrame, most: int, overhead: int = 0) -> DataFrame:
+    """(video, chunk, place, id, tokens) -> the same with chunks halved until their tokens and a request's overhead fit `most`."""
+
+    def dealt(group: pd.DataFrame) -> pd.DataFrame:
+        out, at = [], 0
+        for _, part in group.sort_values(["chunk", "place"]).groupby("chunk"):
+            sizes, begin = halved(part["tokens"].tolist(), most - overhead), 0
+            for n in sizes:
+                run = part.iloc[begin : begin + n]
+                out.append(run.assign(chunk=at, place=range(n)))
+                at, begin = at + 1, begin + n
+        return pd.concat(out)[["video", "chunk", "place", "id", "tokens"]]
+
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("video", "id")}
+    return chunks.select("video", "chunk", "place", "id", "tokens").groupBy("video").applyInPandas(dealt, f"video {kinds['video']}, chunk int, place int, id {kinds['id']}, tokens long")
+
+
+def _packing(now: Column, units: Column, most: int) -> Column:
+    """now: struct<done array<string>, open string>; units (n, tokens, first) are added in order, a new chunk opening where one won't fit.
+
+    Budgets count the characters of a unit, a quarter of them a token, and a token for each space between units.
+    """
+
+    def add(state: Column, unit: Column) -> Column:
+        full = (state["open"] != "") & (unit["alone"] | (state["total"] + 1 + unit["size"] > most))
+        return F.struct(
+            F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
+            F.when(full | (state["open"] == ""), unit["s"]).otherwise(F.concat(state["open"], F.lit(" "), unit["s"])).alias("open"),
+            F.when(full | (state["open"] == ""), unit["size"]).otherwise(state["total"] + unit["size"] + 1).alias("total"),
+        )
+
+    return F.aggregate(units, now, add)
 
 
 def text_chunks(x: Column, most: int = 2000) -> Column:
-    run = F.pandas_udf(lambda s: s.map(lambda a: None if a is None else packed(list(a), most)), "array<string>")
-    return run(text.sentences(x))
+    """Sentences joined up to the token budget; one over the budget starts a chunk of its own and is split at words."""
+    size = lambda s: F.ceil(F.length(s) / 4).cast("long")
+    unit = lambda s, alone: F.struct(s.alias("s"), size(s).alias("size"), alone.alias("alone"))
+    words = lambda s: F.filter(F.split(s, " "), lambda w: w != "")
+    units = F.flatten(F.transform(text.sentences(x), lambda s: F.when(size(s) > most, F.transform(words(s), lambda w, i: unit(w, i == 0))).otherwise(F.array(unit(s, F.lit(False))))))
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).cast("long").alias("total"))
+    packed_ = F.transform(F.array(_packing(empty, units, most)), lambda p: F.when(p["open"] == "", p["done"]).otherwise(F.concat(p["done"], F.array(p["open"]))))
+    return F.when(x.isNotNull(), F.element_at(packed_, 1))

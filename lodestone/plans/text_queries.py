@@ -101,12 +101,6 @@ def related_claims(spark, d):
     return out.select("id", "at", "refs", "tags", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_CLAIMS}, g AS (SELECT conv_id, count(*) AS n FROM c WHERE state = 'accepted' GROUP BY 1)
-SELECT 'resource-' || t.conv_id AS resource_id, 'Conversation ' || t.conv_id AS title, coalesce(n, 0)::INTEGER AS n_claims FROM (SELECT DISTINCT conv_id FROM turns) t LEFT JOIN g USING (conv_id)""")
-def video_dossiers(spark, d):
-    return claims.dossiers(*adapters.clips(spark, d)).where("markdown IS NOT NULL").select("resource_id", "title", "n_claims")
-
-
 @query(f"""WITH {_CLAIMS} SELECT 'resource-' || t.conv_id AS resource_id, count(*) AS excerpts, count_if(role = 'assistant')::BIGINT AS claims, 0::BIGINT AS "references" FROM turns t GROUP BY t.conv_id""")
 def ingestion_status(spark, d):
     return claims.status(adapters.clips(spark, d)[0])
@@ -117,13 +111,6 @@ def extraction_diagnosis(spark, d):
     return claims.diagnosis(*adapters.clips(spark, d))
 
 
-@query("""SELECT conv_id AS video, count(*) AS n, sum(CASE WHEN turn % 3 > 0 THEN turn % 3 ELSE 20 - turn % 3 END)::DOUBLE AS seconds FROM conversations GROUP BY 1""")
-def transcript_export(spark, d):
-    start = F.col("turn") * 30.0
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("video"), F.col("turn").alias("id"), start.alias("start"), (F.col("turn") % 3).cast("double").alias("duration"), (start + 20).alias("end"), "text")
-    return claims.transcripts(rows).select("video", "n", "seconds")
-
-
 @query()
 def fulltext_search(spark, d):
     return fulltext.search(fulltext.index(adapters.clips(spark, d)[0]), "conversations")
@@ -159,8 +146,9 @@ def stream_event_counts(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
     out = store.scratch(spark, "event-counts")
-    ingest.to_table(ingest.windowed_counts(stream, "ts", ["event_type"]), f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/table").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    log = store.UpsertLog(spark, f"{out}/log", ["start", "event_type"])
+    ingest.to_log(ingest.windowed_counts(stream, "ts", ["event_type"]), log, f"{out}/checkpoint").awaitTermination()
+    return log.read().withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
@@ -168,6 +156,6 @@ def stream_upserts(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").where("user_id IS NOT NULL").select("user_id", "event_type", F.col("event_id").alias("seq"))
     out = store.scratch(spark, "users")
-    users = store.SnapshotStore(spark, f"{out}/store")
-    ingest.upserts(stream, users, "users", ["user_id"], ["event_type"], f"{out}/checkpoint").awaitTermination()
-    return users.read("users")
+    log = store.UpsertLog(spark, f"{out}/log", ["user_id"])
+    ingest.upserts(stream, log, ["event_type"], f"{out}/checkpoint").awaitTermination()
+    return log.read()

@@ -80,3 +80,35 @@ def clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out, links
+
+
+def library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with sources: suppliers as resources (some without an address), parts as claims (some without content,
+    resource or state) and as excerpts (some without a start), and the tasks, projects, areas and goals of `edges`."""
+    read = lambda name: table(spark, sf_dir, name)
+    k = F.col("p_partkey")
+    name = lambda kind, key: F.concat(F.lit(kind + "-"), key)
+    state = F.when(F.col("p_size") % 5 == 0, "accepted").when(F.col("p_size") % 5 == 1, "draft").when(F.col("p_size") % 5 == 2, "rejected").when(F.col("p_size") % 5 == 3, "odd")
+    claim = F.struct(
+        state.alias("state"), F.when(k % 11 != 0, name("resource", k % 12)).alias("resourceId"), F.when(k % 2 == 0, name("v", k)).alias("videoId"),
+        F.when(k % 3 == 0, F.col("p_brand")).alias("domain"), (k % 100 / 100).alias("confidence"), F.when(k % 4 != 0, "heuristic").alias("method"),
+    )
+    supplier = F.col("s_suppkey")
+    resource = F.struct(F.when(supplier % 5 != 0, F.concat(F.lit("https://example.org/w?id="), supplier)).alias("url"), F.when(supplier % 3 == 0, "Channel").alias("channelName"))
+    excerpt = F.struct(F.when(k % 6 != 0, F.col("p_size") * 10.0).alias("start"), name("resource", k % 12).alias("resourceId"))
+    parts = [
+        _node(read("supplier"), "Resource", "s_suppkey", "s_name", resource),
+        _node(read("part"), "Claim", "p_partkey", "p_name", claim, F.when(k % 3 != 0, F.concat("p_type", F.lit("  "), "p_name"))),
+        _node(read("part"), "Excerpt", "p_partkey", "p_brand", excerpt, F.concat_ws(" ", "p_brand", "p_type", "p_name")),
+    ]
+    out = nodes(spark, sf_dir).where("type <> 'Claim'")
+    for p in parts:
+        out = out.unionByName(p)
+    link = lambda df, s, p, o: df.select(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
+    links = (
+        edges(spark, sf_dir)
+        .unionByName(link(read("part").where("p_partkey % 4 <> 0"), name("claim", k), "claimDerivedFrom", name("excerpt", k)))
+        .unionByName(link(read("part").where("p_partkey % 7 <> 0"), name("claim", k), "claimDerivedFrom", name("excerpt", k + 1)))
+        .unionByName(link(read("customer"), name("project", F.col("c_custkey")), "projectServesGoal", name("goal", F.col("c_custkey") % 5)))
+    )
+    return out, links

@@ -1,32 +1,36 @@
-"""Structured Streaming: windowed counts with late data, and upserts of arriving nodes or edges into a snapshot store."""
+"""Structured Streaming: windowed counts with late data, and upserts of arriving nodes or edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators import graph
-from lodestone.sources.store import SnapshotStore
+from lodestone.sources.store import UpsertLog
 
 
 def windowed_counts(stream: DataFrame, ts: str, by: list[str], window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """(start, by..., n): rows of each tumbling window; in append mode a window is closed once `late` has passed."""
+    """(start, by..., n): rows of each tumbling window; a window's state goes once `late` has passed."""
     counts = stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("_w"), *by).agg(F.count("*").alias("n"))
     return counts.select(F.col("_w.start").alias("start"), *by, "n")
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """What has arrived, as a table that each batch replaces as a whole."""
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_log(stream: DataFrame, log: UpsertLog, checkpoint: str) -> StreamingQuery:
+    """Update mode: each batch writes the keys that changed and nothing else."""
+    return stream.writeStream.outputMode("update").foreachBatch(log.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upserts(stream: DataFrame, store: SnapshotStore, name: str, keys: list[str], values: list[str], checkpoint: str) -> StreamingQuery:
-    """Merges each batch (keys, values, seq) into the store's table; batch i makes version i + 1, so a repeated batch changes nothing."""
+def to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append mode: a window is written once, when it is closed."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upserts(stream: DataFrame, log: UpsertLog, values: list[str], checkpoint: str) -> StreamingQuery:
+    """Merges arriving rows (the log's keys, values, seq): each batch writes the last row of each of its keys. A later batch wins."""
 
     def merge(batch: DataFrame, i: int) -> None:
-        old = store.read(name) if store.version else batch.select(*keys, *values).where(F.lit(False))
-        store.commit({name: graph.upsert(old, batch, keys, values).drop("action")}, i + 1)
+        last = F.row_number().over(W.partitionBy(*log.keys).orderBy(F.desc("seq")))
+        log.write(batch.withColumn("_rn", last).where("_rn = 1").select(*log.keys, *values), i)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from lodestone.functions import text
 from lodestone.operators import evaluate, graph, segments, taxonomy
 from lodestone.plans import queries as base
-from lodestone.plans import text_queries  # noqa: F401 - adds its queries to base
+from lodestone.plans import claim_queries, eval_queries, text_queries  # noqa: F401 - add their queries to base
 
 DATA = "/root/testdata/sf0.001"
 
 
 def values(df):
-    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in (r[c] for c in sorted(df.columns))) for r in df.collect())
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in (r[c] for c in sorted(df.columns))) for r in df.collect()), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(base.ORACLE))
@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, name):
     names = sorted(want.columns)
     assert names == sorted(got.columns)
     order = [want.columns.index(c) for c in names]
-    assert values(got) == sorted(tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in want.fetchall())
+    assert values(got) == sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in want.fetchall()), key=repr)
 
 
 def edges(spark, *triples):
@@ -51,6 +51,25 @@ def test_pages(spark):
     assert ids(cursor="No|such") == ["area-1"]
 
 
+def test_pages_by_a_field_with_nulls(spark):
+    """Pages of two, one after the other, give every row once and in order, from a null field on, too, both ways."""
+    rows = [(f"n{i}", "T", None if i % 3 == 0 else f"c{i % 2}") for i in range(9)]
+    nodes = spark.createDataFrame(rows, "id string, type string, content string")
+    for descending in (False, True):
+        want = sorted(rows, key=lambda r: (r[2] is not None, r[2] or "", r[0]))
+        if descending:
+            want = sorted([r for r in rows if r[2]], key=lambda r: r[0])
+            want = sorted(want, key=lambda r: r[2], reverse=True) + [r for r in rows if r[2] is None]
+        got, cursor = [], None
+        while True:
+            part = graph.page(nodes, graph.NODE_ORDER, 2, cursor=cursor, first="content", descending=descending).collect()
+            if not part:
+                break
+            got += [r["id"] for r in part]
+            cursor = f"{part[-1]['type']}|{part[-1]['id']}"
+        assert got == [r[0] for r in want]
+
+
 def test_json_ld_groups_all_edges(spark):
     edges = base._graph(spark, DATA)[1]
     targets = base.QUERIES["graph_json_ld_all"](spark, DATA).select(F.size(F.split("targets", " ")).alias("n"))
@@ -79,8 +98,18 @@ def test_circular_categories(spark):
     none = spark.createDataFrame([], "id string, category_id string")
     tags = spark.createDataFrame([], "id string, topic_ids array<string>")
     assert sorted(r["id"] for r in taxonomy.issues(c, none, tags).collect()) == ["a", "b", "c"]
+    chain = spark.range(200).selectExpr("string(id) AS id", "CASE WHEN id > 0 THEN string(id - 1) END AS parent_id")
+    assert taxonomy.circular(chain).count() == 0
+    assert taxonomy.circular(chain.selectExpr("id", "CASE WHEN id = '0' THEN '199' ELSE parent_id END AS parent_id")).count() == 200
 
 
 def test_correlation(spark):
     df = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (4, 4)], "a int, b int")
     assert 0.9 < evaluate.spearman(df, "a", "b").first()["rho"] < 1
+    row = evaluate.spearman(df.selectExpr("a", "1 AS b"), "a", "b").first()
+    assert row["rho"] is None and row["n"] == 4 and not row["reliable"]
+    assert evaluate.spearman(df.limit(1), "a", "b").first()["rho"] is None
+    assert evaluate.spearman(df.selectExpr("a", "double('NaN') AS b"), "a", "b").first()["rho"] is None
+    many = spark.range(500).selectExpr("double(id * id % 101) AS a", "double(id * 7 % 37) AS b")
+    want = many.toPandas().corr("spearman").iloc[0, 1]
+    assert evaluate.spearman(many, "a", "b", buckets=8).first()["rho"] == pytest.approx(want)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text
 from lodestone.operators import claims, editor, fulltext
 from lodestone.sources import transcripts
-from lodestone.sources.store import SnapshotStore
+from lodestone.sources.store import SnapshotStore, UpsertLog
 from lodestone.streaming import ingest
 
 
@@ -68,11 +68,26 @@ def test_sentence_shape(spark):
     assert one(spark, text.key(F.lit("  It’s “A”, b.  "))) == "its a b"
 
 
+def packed(sentences: list[str], most: int) -> list[str]:
+    """Sentences joined up to the token budget; one over the budget starts a chunk of its own and is split at words."""
+    size = lambda s: -(-len(s) // 4)
+    out, now, total = [], [], 0
+    for s in sentences:
+        over = size(s) > most
+        for i, unit in enumerate(s.split() if over else [s]):
+            if now and ((over and not i) or total + 1 + size(unit) > most):
+                out.append(" ".join(now))
+                now, total = [], 0
+            total += size(unit) + bool(now)
+            now.append(unit)
+    return out + ([" ".join(now)] if now else [])
+
+
 def test_packed():
-    assert editor.packed(["aaaa bbbb", "cccc"], 5) == ["aaaa bbbb cccc"]
-    assert editor.packed(["aaaa bbbb", "cccc"], 4) == ["aaaa bbbb", "cccc"]
-    assert editor.packed(["x.", "aaaa bbbb cccc dddd", "e."], 3) == ["x.", "aaaa bbbb", "cccc dddd", "e."]
-    assert editor.packed([], 3) == []
+    assert packed(["aaaa bbbb", "cccc"], 5) == ["aaaa bbbb cccc"]
+    assert packed(["aaaa bbbb", "cccc"], 4) == ["aaaa bbbb", "cccc"]
+    assert packed(["x.", "aaaa bbbb cccc dddd", "e."], 3) == ["x.", "aaaa bbbb", "cccc dddd", "e."]
+    assert packed([], 3) == []
 
 
 def test_same_meaning():
@@ -111,7 +126,7 @@ def test_folds_against_plain(spark):
     df = spark.createDataFrame([("v", *r) for r in rows], "video string, id int, text string, start double, score double, excerpt_ids array<string>")
     got = sorted(r["id"] for r in editor.deduped(df).collect())
     assert got == plain_fold(rows) and len(got) < 250
-    none = editor.keep_first(pd.DataFrame([{"text": "", "start": None, "score": 0.0, "excerpt_ids": None}]))
+    none = editor.keep_first(pd.DataFrame([{"video": "v", "id": 1, "text": "", "start": None, "score": 0.0, "excerpt_ids": None}]))
     assert len(none) == 1
 
 
@@ -177,9 +192,27 @@ def test_store_and_stream(spark, tmp_path):
     assert store.read("t").count() == 2 and store.read("t", 1).count() == 1
     source = str(tmp_path / "in")
     stream = lambda: spark.readStream.schema("id string, n int, seq int").parquet(source)
-    target = SnapshotStore(spark, str(tmp_path / "target"))
+    store.vacuum(1)
+    assert store.read("t").count() == 2 and not (tmp_path / "store" / "v1").exists()
+    target = UpsertLog(spark, str(tmp_path / "target"), ["id"])
     for batch in ([("a", 1, 1), ("a", 2, 2), ("b", 1, 1)], [("a", 3, 1), ("c", 1, 1)]):
         spark.createDataFrame(batch, "id string, n int, seq int").coalesce(1).write.mode("append").parquet(source)
-        ingest.upserts(stream(), target, "t", ["id"], ["n"], str(tmp_path / "marks")).awaitTermination()
-    assert sorted(map(tuple, target.read("t").collect())) == [("a", 3), ("b", 1), ("c", 1)]
-    assert target.version == 2
+        ingest.upserts(stream(), target, ["n"], str(tmp_path / "marks")).awaitTermination()
+    want = [("a", 3), ("b", 1), ("c", 1)]
+    assert sorted(map(tuple, target.read().collect())) == want and target.batches() == [0, 1]
+    target.write(new, 1)  # a repeated batch changes nothing
+    target.compact()
+    assert sorted(map(tuple, target.read().collect())) == want
+
+
+def test_windows_are_kept_in_a_log_and_closed_ones_in_files(spark, tmp_path):
+    source = str(tmp_path / "in")
+    stream = lambda: spark.readStream.schema("at timestamp, kind string").parquet(source)
+    log = UpsertLog(spark, str(tmp_path / "log"), ["start", "kind"])
+    for hours in ([0, 0, 1], [1, 5], [6, 0]):  # the last 0 is late: its window's state is gone
+        rows = spark.range(1).select(F.explode(F.array(*[F.lit(h) for h in hours])).alias("h")).select(F.timestamp_add("HOUR", "h", F.lit("2024-01-01").cast("timestamp")).alias("at"), F.lit("k").alias("kind"))
+        rows.coalesce(1).write.mode("append").parquet(source)
+        ingest.to_log(ingest.windowed_counts(stream(), "at", ["kind"]), log, str(tmp_path / "a")).awaitTermination()
+        ingest.to_files(ingest.windowed_counts(stream(), "at", ["kind"]), str(tmp_path / "files"), str(tmp_path / "b")).awaitTermination()
+    assert sorted((r["start"].hour, r["n"]) for r in log.read().collect()) == [(0, 2), (1, 2), (5, 1), (6, 1)]
+    assert sorted((r["start"].hour, r["n"]) for r in spark.read.parquet(str(tmp_path / "files")).collect()) == [(0, 2), (1, 2)]
