@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,10 +82,48 @@ def index(nodes: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
     return words.join(stems, "word").select("term", "id", "type").distinct()
 
 
+class QueryError(ValueError):
+    """Raised for a query that full text cannot answer; a caller may fall back to substrings."""
+
+
+def parsed(query: str) -> list[tuple[list[str], list[str]]]:
+    """Alternatives of (terms that must occur, terms that must not); a term that ends in * is a prefix.
+
+    Words are joined by AND, which may be written; NOT binds to the next word, OR least. Quotes are ignored. An operator without
+    a word on a side where it needs one, and NEAR, are refused.
+    """
+    words = query.replace('"', " ").replace("'", " ").split()
+    groups: list[tuple[list[str], list[str]]] = [([], [])]
+    negate = joined = False
+    for word in words:
+        if word in ("OR", "AND", "NOT"):
+            if negate or joined or not groups[-1][0]:
+                raise QueryError(f"{word} has nothing on its left")
+            if word == "OR":
+                groups.append(([], []))
+            negate, joined = word == "NOT", word != "NOT"
+            continue
+        if word.startswith("NEAR"):
+            raise QueryError("NEAR is not supported")
+        terms = [stem(w) for w in re.split(r"[\W_]+", word.lower()) if w]
+        if terms and word.endswith("*"):
+            terms[-1] += "*"
+        groups[-1][1 if negate else 0].extend(terms)
+        negate = joined = False
+    if negate or joined:
+        raise QueryError("an operator has nothing on its right")
+    return [(sorted(set(a)), sorted(set(b))) for a, b in groups if a]
+
+
 def search(postings: DataFrame, query: str, types: tuple[str, ...] = TYPES) -> DataFrame:
-    """(id, type) of the nodes that hold every word of the query; a blank query finds nothing, quotes are ignored."""
-    terms = sorted({stem(w) for w in re.split(r"[\W_]+", query.lower()) if w})
-    if not terms:
+    """(id, type) of the nodes that match the query; a blank query finds nothing."""
+    groups = parsed(query)
+    if not groups:
         return postings.select("id", "type").where(F.lit(False))
-    hits = postings.where(F.col("term").isin(terms) & F.col("type").isin(*types))
-    return hits.groupBy("id", "type").agg(F.count("*").alias("n")).where(F.col("n") == len(terms)).select("id", "type")
+    terms = sorted({t for a, b in groups for t in (*a, *b)})
+    holds = lambda t: F.col("term").startswith(t[:-1]) if t.endswith("*") else F.col("term") == t
+    hits = postings.where(F.col("type").isin(*types)).where(reduce(lambda a, b: a | b, map(holds, terms)))
+    found = hits.groupBy("id", "type").agg(*[F.bool_or(holds(t)).alias(f"t{i}") for i, t in enumerate(terms)])
+    at = {t: F.col(f"t{i}") for i, t in enumerate(terms)}
+    one = lambda a, b: reduce(lambda x, y: x & y, [*[at[t] for t in a], *[~at[t] for t in b]])
+    return found.where(reduce(lambda x, y: x | y, [one(a, b) for a, b in groups])).select("id", "type")

@@ -239,7 +239,7 @@ def search_claims(
 
     Without postings a claim scores 2 if its content (its label, where there is none) holds the query and 1 if its resource's
     title does, in any case. With postings (of a full-text index) it scores 2 for a match of its own, 1 for one of an excerpt
-    it derives from and 1 for one of its resource. The time is that of its earliest excerpt, 0 without one.
+    it derives from and 1 for one of its resource; a query that full text refuses is searched as a substring. The time is that of its earliest excerpt, 0 without one.
     An empty query, and one that full text finds nowhere, give no rows. A missing or unknown state counts as accepted.
     """
     state = F.when(meta("state").isin(*STATES), meta("state")).otherwise("accepted")
@@ -252,6 +252,11 @@ def search_claims(
     found = claims.where("resource_id <> ''").join(resources, "resource_id")
     found = found.withColumn("url", F.coalesce(F.when(F.col("url") != "", F.col("url")), F.when(F.col("video_id") != "", watched))).where("url IS NOT NULL")
     derived = get_edges(edges, predicate="claimDerivedFrom").select(F.col("subject").alias("id"), F.col("object").alias("excerpt_id"))
+    if postings is not None:
+        try:
+            fulltext.parsed(query)
+        except fulltext.QueryError:
+            postings = None
     if postings is None:
         needle = query.lower()
         holds = lambda c: F.lower(c).contains(needle)

@@ -133,19 +133,19 @@ def eval_judge_spread(spark, d):
     return evaluate.judge_spread(_scores(spark, d), ["video", "model"])
 
 
-_CANDIDATES = """ca AS (SELECT 'video-' || (p_partkey % 30) AS video, 'c' || p_partkey AS candidate, (p_partkey * 37 % 100) / 100 AS ratio, (p_partkey * 53 % 10) / 10 AS root_ratio, (p_size % 10) / 10 AS child_ratio, p_size % 7 AS unmatched,
-  CASE WHEN p_partkey % 4 = 0 THEN (p_size % 5) / 5 END AS teacher_ratio, CASE WHEN p_partkey % 3 = 0 THEN (p_size % 3) / 2 END AS structural, CASE p_partkey % 5 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'none' END AS fallback,
-  CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 3 END AS max_tokens, p_partkey % 6 <> 0 AS harness, p_size % 2 = 0 AS gate, CASE WHEN p_size % 5 = 0 THEN 'small-request' END AS chunk_mode, CASE WHEN p_partkey % 7 = 0 THEN 'x-v2' ELSE 'x' END AS pack FROM part),
+_CANDIDATES = """ca AS (SELECT 'video-' || (p_partkey % 30) AS video, 'c' || p_partkey AS candidate, (p_partkey * 37 % 64) / 64 AS ratio, (p_partkey * 53 % 8) / 8 AS root_ratio, (p_size % 8) / 8 AS child_ratio, p_size % 7 AS unmatched,
+  CASE WHEN p_partkey % 4 = 0 THEN (p_size % 5) / 4 END AS teacher_ratio, CASE WHEN p_partkey % 3 = 0 THEN (p_size % 3) / 2 END AS structural, CASE p_partkey % 5 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'none' END AS fallback,
+  CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 9 * 625 END AS max_tokens, p_partkey % 6 <> 0 AS harness, p_size % 2 = 0 AS gate, CASE WHEN p_size % 5 = 0 THEN 'small-request' END AS chunk_mode, CASE WHEN p_partkey % 7 = 0 THEN 'x-v2' ELSE 'x' END AS pack FROM part),
 s AS (SELECT *, ratio * 100 + coalesce(teacher_ratio, 0) * 15 + (2 * root_ratio + child_ratio) * 10 + coalesce(structural, 0) * 15 - unmatched - CASE fallback WHEN 'full' THEN 5 WHEN 'partial' THEN 2 ELSE 0 END - coalesce(max_tokens, 0) / 10000 AS score FROM ca WHERE harness),
-r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY round(score, 9) DESC, ratio DESC, coalesce(teacher_ratio, 0) DESC, coalesce(structural, 0) DESC, round(2 * root_ratio + child_ratio, 9) DESC, unmatched, coalesce(max_tokens, 9007199254740991), candidate)::INTEGER AS rank_in_video FROM s)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score DESC, ratio DESC, coalesce(teacher_ratio, 0) DESC, coalesce(structural, 0) DESC, 2 * root_ratio + child_ratio DESC, unmatched, coalesce(max_tokens, 9007199254740991), candidate)::INTEGER AS rank_in_video FROM s)"""
 
 
 def _ranked(spark, d):
     k, z = F.col("p_partkey"), F.col("p_size")
     rows = table(spark, d, "part").select(
-        F.concat(F.lit("video-"), k % 30).alias("video"), F.concat(F.lit("c"), k).alias("candidate"), (k * 37 % 100 / 100).alias("ratio"), (k * 53 % 10 / 10).alias("root_ratio"), (z % 10 / 10).alias("child_ratio"), (z % 7).alias("unmatched"),
-        F.when(k % 4 == 0, z % 5 / 5).alias("teacher_ratio"), F.when(k % 3 == 0, z % 3 / 2).alias("structural"), F.when(k % 5 == 0, "full").when(k % 5 == 1, "partial").otherwise("none").alias("fallback"),
-        F.when(k % 2 == 0, k * 3).alias("max_tokens"), (k % 6 != 0).alias("harness"), (z % 2 == 0).alias("gate"), F.when(z % 5 == 0, "small-request").alias("chunk_mode"), F.when(k % 7 == 0, "x-v2").otherwise("x").alias("pack"),
+        F.concat(F.lit("video-"), k % 30).alias("video"), F.concat(F.lit("c"), k).alias("candidate"), (k * 37 % 64 / 64).alias("ratio"), (k * 53 % 8 / 8).alias("root_ratio"), (z % 8 / 8).alias("child_ratio"), (z % 7).alias("unmatched"),
+        F.when(k % 4 == 0, z % 5 / 4).alias("teacher_ratio"), F.when(k % 3 == 0, z % 3 / 2).alias("structural"), F.when(k % 5 == 0, "full").when(k % 5 == 1, "partial").otherwise("none").alias("fallback"),
+        F.when(k % 2 == 0, k % 9 * 625).alias("max_tokens"), (k % 6 != 0).alias("harness"), (z % 2 == 0).alias("gate"), F.when(z % 5 == 0, "small-request").alias("chunk_mode"), F.when(k % 7 == 0, "x-v2").otherwise("x").alias("pack"),
     )
     return evaluate.optimisation_ranks(rows)
 

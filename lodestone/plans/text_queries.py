@@ -111,7 +111,9 @@ def extraction_diagnosis(spark, d):
     return claims.diagnosis(*adapters.clips(spark, d))
 
 
-@query()
+@query(rf"""WITH {_CLAIMS}, w AS (SELECT 'Resource' AS type, 'resource-' || conv_id AS id, 'Conversation ' || conv_id AS t FROM turns
+UNION SELECT 'Excerpt', 'excerpt-' || conv_id || '-' || turn, coalesce(text, '') FROM turns UNION SELECT 'Claim', id, coalesce(text, '') FROM c)
+SELECT type, id FROM w WHERE regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}])conversations?($|[^\p{{L}}\p{{N}}])')""")
 def fulltext_search(spark, d):
     return fulltext.search(fulltext.index(adapters.clips(spark, d)[0]), "conversations")
 
