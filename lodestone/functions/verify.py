@@ -60,13 +60,31 @@ def lexical(claim: Column, source: Column) -> Column:
     return text.jaccard(words(claim), words(source))
 
 
+def features(x: Column) -> Column:
+    """struct<words, two, three, phrases, low, few> of a text: what is compared of it, worked out once."""
+
+    def of(w: Column) -> Column:
+        low = F.lower(F.trim(x))
+        few = F.size(F.filter(F.split(low, r"\s+"), lambda t: t != "")) <= SHORT_CLAIM
+        return F.struct(w.alias("words"), text.ngrams(w, 2).alias("two"), text.ngrams(w, 3).alias("three"), key_phrases(x).alias("phrases"), low.alias("low"), few.alias("few"))
+
+    return F.element_at(F.transform(F.array(words(x)), of), 1)
+
+
+def semantic_of(claim: Column, source: Column) -> Column:
+    """`semantic` of two texts' features."""
+
+    def overlap(n: int, name: str) -> Column:
+        short = (F.size(claim["words"]) < n) | (F.size(source["words"]) < n)
+        return F.when(short, text.jaccard(claim["words"], source["words"])).otherwise(text.jaccard(claim[name], source[name]))
+
+    score = overlap(2, "two") * BIGRAMS + overlap(3, "three") * TRIGRAMS + text.jaccard(claim["phrases"], source["phrases"]) * PHRASES
+    return F.when(claim["few"] & (claim["low"] == source["low"]), 1.0).otherwise(score)
+
+
 def semantic(claim: Column, source: Column) -> Column:
     """Weighted overlap of bigrams, trigrams and key phrases; 1 for a claim of one or two words that the source repeats exactly."""
-    a, b = words(claim), words(source)
-    score = ngram_overlap(a, b, 2) * BIGRAMS + ngram_overlap(a, b, 3) * TRIGRAMS + text.jaccard(key_phrases(claim), key_phrases(source)) * PHRASES
-    low = F.lower(F.trim(claim))
-    few = F.size(F.filter(F.split(low, r"\s+"), lambda w: w != "")) <= SHORT_CLAIM
-    return F.when(few & (low == F.lower(F.trim(source))), 1.0).otherwise(score)
+    return F.element_at(F.transform(F.array(F.struct(features(claim).alias("a"), features(source).alias("b"))), lambda p: semantic_of(p["a"], p["b"])), 1)
 
 
 def verified(claim: Column, sources: Column) -> Column:

@@ -22,18 +22,20 @@ def pairs(gold: DataFrame, candidates: DataFrame, embeddings: DataFrame | None =
 
     embeddings: (gold_text, candidate_text, similarity), or null similarities without it.
     """
-    terms = lambda df: df.withColumn("_w", F.explode(F.array_union(verify.words(F.col("text")), F.array(F.concat(F.lit("="), text.key(F.col("text")))))))
-    left = terms(gold.select("video", "gold_id", "seq", "depth", "text"))
-    right = terms(candidates.select("video", "index", "text")).withColumnRenamed("text", "claim")
-    met = left.join(right, ["video", "_w"]).select("video", "gold_id", "seq", "depth", "index", "text", "claim").distinct()
-    exact = text.key(F.col("text")) == text.key(F.col("claim"))
-    one = lambda score: F.when(F.col("exact"), 1.0).otherwise(score(F.col("text"), F.col("claim")))
-    met = met.withColumn("exact", exact).withColumns({"lexical": one(verify.lexical), "semantic": one(verify.semantic)})
+    told = lambda df, *keys: df.select("video", *keys, "text", text.key(F.col("text")).alias("k"), verify.features(F.col("text")).alias("f"))
+    left, right = told(gold, "gold_id", "seq", "depth"), told(candidates, "index")
+    terms = lambda df, key: df.select("video", key, F.explode(F.array_union("f.words", F.array(F.concat(F.lit("="), "k")))).alias("term"))
+    # pairs are found by their keys alone; each side's features, worked out once a text, join them afterwards
+    ids = terms(left, "gold_id").join(terms(right, "index"), ["video", "term"]).select("video", "gold_id", "index").distinct()
+    side = lambda df, n: df.withColumnsRenamed({"text": f"text{n}", "k": f"k{n}", "f": f"f{n}"})
+    met = ids.join(side(left, 1), ["video", "gold_id"]).join(side(right, 2), ["video", "index"])
+    exact = F.col("k1") == F.col("k2")
+    met = met.withColumns({"exact": exact, "lexical": F.when(exact, 1.0).otherwise(text.jaccard(F.col("f1.words"), F.col("f2.words"))), "semantic": F.when(exact, 1.0).otherwise(verify.semantic_of(F.col("f1"), F.col("f2")))})
     if embeddings is None:
         met = met.withColumn("embedding", F.lit(None).cast("double"))
     else:
-        near = embeddings.select(F.col("gold_text").alias("text"), F.col("candidate_text").alias("claim"), F.col("similarity").alias("embedding"))
-        met = met.join(near, ["text", "claim"], "left")
+        near = embeddings.select(F.col("gold_text").alias("text1"), F.col("candidate_text").alias("text2"), F.col("similarity").alias("embedding"))
+        met = met.join(near, ["text1", "text2"], "left")
     return met.select("video", "gold_id", "seq", "depth", "index", "exact", "lexical", "semantic", "embedding")
 
 

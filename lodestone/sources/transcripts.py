@@ -34,18 +34,29 @@ def _segment(start: Column, duration: Column, body: Column, speaker: Column | No
 
 def _whole(found: Column) -> Column:
     """Segments with a start and with text; never null."""
-    return F.coalesce(F.filter(found, lambda s: s["start"].isNotNull() & (text.normalise(s["text"]) != "")), F.array().cast(SEGMENTS))
+    return F.coalesce(F.filter(found, lambda s: s["start"].isNotNull() & s["text"].rlike(r"(?U)\S")), F.array().cast(SEGMENTS))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used: it rides in a one-element array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _clock(x: Column, least_parts: int) -> Column:
     """[[h:]m:]s[.fraction] in seconds, or null; a short fraction is filled up to milliseconds."""
-    parts = F.split(F.trim(x), ":")
-    n = F.size(parts)
-    part = lambda back: F.when(n >= back, F.try_element_at(parts, F.lit(-back))).otherwise("0").try_cast("double")
-    last = F.split(F.try_element_at(parts, F.lit(-1)), r"\.")
-    fraction = F.coalesce(F.try_element_at(last, F.lit(2)), F.lit("0"))
-    millis = F.when(F.length(fraction) < 3, F.rpad(fraction, 3, "0")).otherwise(fraction).try_cast("double")
-    return F.when((n >= least_parts) & (F.trim(x) != ""), part(3) * 3600 + part(2) * 60 + last[0].try_cast("double") + millis / 1000)
+
+    def seconds(last: Column) -> Column:
+        fraction = F.coalesce(F.try_element_at(last, F.lit(2)), F.lit("0"))
+        millis = F.when(F.length(fraction) < 3, F.rpad(fraction, 3, "0")).otherwise(fraction).try_cast("double")
+        return last[0].try_cast("double") + millis / 1000
+
+    def whole(parts: Column) -> Column:
+        n = F.size(parts)
+        part = lambda back: F.when(n >= back, F.try_element_at(parts, F.lit(-back))).otherwise("0").try_cast("double")
+        known = (n >= least_parts) & ((n > 1) | (F.try_element_at(parts, F.lit(1)) != ""))
+        return F.when(known, part(3) * 3600 + part(2) * 60 + _once(F.split(F.try_element_at(parts, F.lit(-1)), r"\."), seconds))
+
+    return _once(F.split(F.trim(x), ":"), whole)
 
 
 def vtt_time(x: Column) -> Column:
@@ -54,8 +65,7 @@ def vtt_time(x: Column) -> Column:
 
 def timecode(x: Column) -> Column:
     """A clock time, or seconds as 12.5s."""
-    t = F.trim(x)
-    return F.when(F.endswith(t, F.lit("s")), F.regexp_replace(t, "s$", "").try_cast("double")).otherwise(_clock(t, 1))
+    return F.when(F.rtrim(x).endswith("s"), F.regexp_replace(F.trim(x), "s$", "").try_cast("double")).otherwise(_clock(x, 1))
 
 
 def from_xml(payload: Column) -> Column:
@@ -81,30 +91,41 @@ def from_vtt(payload: Column) -> Column:
     lines = F.regexp_replace(payload, "\r\n", "\n")
     cues = F.regexp_extract_all(lines, F.lit(r"(?m)^(?!\s*(?:WEBVTT|Kind:|Language:))[^\n]*-->[^\n]*(?:\n(?=[^\n]*\S)[^\n]+)*+"), F.lit(0))
 
-    def one(cue: Column) -> Column:
-        head = F.split(F.substring_index(cue, "\n", 1), "-->")
-        start, end = vtt_time(head[0]), vtt_time(F.substring_index(F.trim(head[1]), " ", 1))
-        body = text.normalise(F.regexp_replace(cue, r"^[^\n]*\n?", ""))
-        voice = r"^<v\s+([^>]+)>([\s\S]*?)(?:</v>)?$"
-        who, said = text.normalise(F.regexp_extract(body, voice, 1)), _plain(F.regexp_replace(F.regexp_extract(body, voice, 2), _TAG, ""))
-        spoken = (who != "") & (said != "")
-        return _segment(start, F.when(end >= start, end - start).otherwise(0.0), F.when(spoken, said).otherwise(_plain(body)), F.when(spoken, who))
+    voice = r"^<v\s+([^>]+)>([\s\S]*?)(?:</v>)?$"
+
+    def lines_of(cue: Column) -> Column:
+        return F.struct(F.split(F.substring_index(cue, "\n", 1), "-->").alias("head"), text.normalise(F.regexp_replace(cue, r"^[^\n]*\n?", "")).alias("body"))
 
-    return _whole(F.transform(cues, one))
+    def parts(c: Column) -> Column:
+        end = vtt_time(F.substring_index(F.trim(c["head"][1]), " ", 1))
+        said = _plain(F.regexp_replace(F.regexp_extract(c["body"], voice, 2), _TAG, ""))
+        return F.struct(vtt_time(c["head"][0]).alias("start"), end.alias("end"), c["body"].alias("body"), text.normalise(F.regexp_extract(c["body"], voice, 1)).alias("who"), said.alias("said"))
+
+    def one(c: Column) -> Column:
+        spoken = (c["who"] != "") & (c["said"] != "")
+        return _segment(c["start"], F.when(c["end"] >= c["start"], c["end"] - c["start"]).otherwise(0.0), F.when(spoken, c["said"]).otherwise(_plain(c["body"])), F.when(spoken, c["who"]))
+
+    return _whole(F.transform(F.transform(F.transform(cues, lines_of), parts), one))
 
 
 def from_ttml(payload: Column) -> Column:
     """<p begin end dur>; an end goes before a duration, and no duration is negative."""
     rule = r"<p\b([^>]*)>([\s\S]*?)</p>"
 
-    def one(p: Column) -> Column:
-        attrs = F.regexp_extract(p, rule, 1)
-        value = lambda name: F.nullif(F.regexp_extract(attrs, rf'(?s)^.*\b{name}="([^"]*)"', 1), F.lit(""))
-        start, end = timecode(F.coalesce(value("begin"), value("start"))), timecode(value("end"))
-        duration = F.coalesce(end - start, timecode(value("dur")), F.lit(0.0))
-        return _segment(start, F.greatest(F.lit(0.0), duration), _plain(F.regexp_replace(decoded(F.regexp_extract(p, rule, 2)), _TAG, "")))
+    def attributes(p: Column) -> Column:
+        value = lambda name: F.nullif(F.regexp_extract(p["attrs"], rf'(?s)^.*\b{name}="([^"]*)"', 1), F.lit(""))
+        return F.struct(F.coalesce(value("begin"), value("start")).alias("begin"), value("end").alias("end"), value("dur").alias("dur"), p["body"].alias("body"))
 
-    return _whole(F.transform(F.regexp_extract_all(payload, F.lit(rule), F.lit(0)), one))
+    def times(a: Column) -> Column:
+        return F.struct(timecode(a["begin"]).alias("start"), timecode(a["end"]).alias("end"), timecode(a["dur"]).alias("dur"), a["body"].alias("body"))
+
+    def one(t: Column) -> Column:
+        duration = F.coalesce(t["end"] - t["start"], t["dur"], F.lit(0.0))
+        return _segment(t["start"], F.greatest(F.lit(0.0), duration), _plain(F.regexp_replace(decoded(t["body"]), _TAG, "")))
+
+    found = F.arrays_zip(F.regexp_extract_all(payload, F.lit(rule), F.lit(1)).alias("attrs"), F.regexp_extract_all(payload, F.lit(rule), F.lit(2)).alias("body"))
+    # step by step, so that no attribute or time is worked out twice
+    return _whole(F.transform(F.transform(F.transform(found, attributes), times), one))
 
 
 def parsed(payload: Column, form: Column | str = "") -> Column:
