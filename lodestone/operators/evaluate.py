@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions import scalars
+from lodestone.functions import scalars, text
 
 DIMENSIONS = scalars.DIMENSIONS
 CELL = ("video", "model", "variant", "prompt", "chunk_mode")
@@ -193,6 +193,38 @@ def pass_comparison(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"delta_gold": gold, "delta_overall": overall, "improved": (overall > 0) & (gold >= -0.5)})
 
 
+def finding_scores(findings: DataFrame, gold: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(cell, gold_coverage, faithfulness, structure, atomicity, overall) from a judge's findings on each cell of gold claims.
+
+    findings: cell, kind (matched, unsupported, redundant, missed, structural), gold_id, gold_text, candidate_text, is_root, severity, issue.
+    gold: cell, gold_id, seq, depth, text; candidates: cell, text. Texts are compared normalised, in any case. Findings on texts that are
+    no candidates don't count. A match without a known gold id takes the first gold claims of its text, one for each such finding.
+    """
+    key = lambda c: F.lower(text.normalise(F.col(c)))
+    known = candidates.select("cell", key("text").alias("c")).distinct()
+    nodes = gold.select("cell", "gold_id", "depth", key("text").alias("g"), "seq")
+    rows = findings.withColumns({"c": key("candidate_text"), "g": key("gold_text")}).join(nodes.select("cell", "gold_id", F.col("depth").alias("own")), ["cell", "gold_id"], "left")
+    valid = rows.join(known, ["cell", "c"], "left_semi")
+    by_id = valid.where("kind = 'matched' AND own IS NOT NULL").select("cell", "gold_id")
+    spare = valid.where("kind = 'matched' AND own IS NULL").groupBy("cell", "g").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(W.partitionBy("cell", "g").orderBy("seq"))
+    by_text = nodes.withColumn("nth", nth).join(spare, ["cell", "g"]).where(F.col("nth") <= F.col("n")).select("cell", "gold_id")
+    matched = by_id.unionByName(by_text).distinct().groupBy("cell").agg(F.count("*").alias("matched"))
+    roots = nodes.where("depth = 0").select("cell", "g", F.lit(True).alias("rooted")).distinct()
+    missed = rows.where("kind = 'missed'").join(roots, ["cell", "g"], "left")
+    is_root = F.coalesce("is_root", F.lit(False)) | F.when(F.col("own").isNotNull(), F.col("own") == 0).otherwise(F.coalesce("rooted", F.lit(False)))
+    missed = missed.groupBy("cell").agg(F.count_if(is_root).alias("missed"))
+    doubtful = valid.groupBy("cell").agg(F.count_if(F.col("kind") == "unsupported").alias("unsupported"), F.count_if(F.col("kind") == "redundant").alias("redundant"))
+    structural = F.col("kind") == "structural"
+    shape = rows.groupBy("cell").agg(F.collect_list(F.when(structural, F.coalesce("severity", F.lit("low")))).alias("severities"), F.count_if(structural & F.lower("issue").rlike("compound|atomic")).alias("compound"))
+    out = gold.groupBy("cell").agg(F.count("*").alias("gold")).join(candidates.groupBy("cell").agg(F.count("*").alias("claims")), "cell", "left")
+    for df in (matched, missed, doubtful, shape):
+        out = out.join(df, "cell", "left")
+    out = out.na.fill(0).withColumn("severities", F.coalesce("severities", F.array().cast("array<string>")))
+    scores = scalars.judge_scores(*map(F.col, ("gold", "matched", "claims", "unsupported", "redundant", "severities", "compound", "missed")))
+    return out.select("cell", scores.alias("s")).select("cell", "s.*")
+
+
 def priority() -> list[Column]:
     """The order of candidates: score, then coverage, teacher coverage, structure and hierarchy, then fewer unmatched and smaller chunks."""
     hierarchy = F.col("root_ratio") * 2 + F.col("child_ratio")

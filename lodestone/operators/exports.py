@@ -100,6 +100,17 @@ def report_markdown(leaderboard: DataFrame, dimension: str = "overall", most: in
     return "\n".join(["| Rank | Model | Score |", "| --- | --- | --- |", *(f"| {r['rank']} | {r['model']} | {r['mean']:.2f} |" for r in rows)])
 
 
+def report_json(tables: dict[str, DataFrame], most: int = 10_000) -> str:
+    """A report's tables (statistics, leaderboards, caveats; each of at most `most` rows, or it is refused) as one JSON object."""
+    out = {}
+    for name, df in tables.items():
+        rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r")).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows; write it as a table")
+        out[name] = sorted((json.loads(r["r"]) for r in rows), key=lambda r: json.dumps(r, sort_keys=True))
+    return json.dumps(out, indent=2, sort_keys=True)
+
+
 def draft_path(path: str) -> str:
     """Where the second dossier goes, which holds drafts as well."""
     return path if path.endswith(".draft.md") else (path[:-3] if path.endswith(".md") else path) + ".draft.md"

@@ -377,6 +377,20 @@ def test_evaluation_details(spark):
     assert tuple(evaluate.consensus(one_judge, ["cell"], ("overall",)).first())[2:] == (1, 3.0, 0.0, False)
 
 
+def test_finding_scores(spark):
+    gold = spark.createDataFrame([("x", "g1", 1, 0, "Root  one"), ("x", "g2", 2, 1, "child"), ("x", "g3", 3, 1, "Child"), ("x", "g4", 4, 0, "other"), ("y", "g1", 1, 0, "a")], "cell string, gold_id string, seq int, depth int, text string")
+    claims = spark.createDataFrame([("x", "C one"), ("x", "c two"), ("x", "c three")], "cell string, text string")
+    f = [
+        ("x", "matched", "g1", None, "c  ONE", None, None, None), ("x", "matched", "g9", "CHILD", "c two", None, None, None), ("x", "matched", "g4", None, "no claim", None, None, None),
+        ("x", "unsupported", None, None, "c three", None, None, None), ("x", "redundant", None, None, "nothing", None, None, None), ("x", "missed", "g4", None, None, None, None, None),
+        ("x", "missed", None, "child", None, None, None, None), ("x", "missed", None, None, None, True, None, None), ("x", "structural", None, None, None, None, "high", "a Compound claim"), ("x", "structural", None, None, None, None, "x", "odd"),
+    ]
+    findings = spark.createDataFrame(f, "cell string, kind string, gold_id string, gold_text string, candidate_text string, is_root boolean, severity string, issue string")
+    got = {r["cell"]: tuple(r)[1:] for r in evaluate.finding_scores(findings, gold, claims).collect()}
+    # two of four gold claims, one of three unsupported, severities 2 and 0.5, two missed roots, one compound issue
+    assert got["x"] == (5.0, 6.67, 4.5, 9.5, 6.42) and got["y"] == (0.0, 0.0, 10.0, 0.0, 2.5)
+
+
 def test_exports(spark, tmp_path):
     nodes, edges = small_graph(spark)
     more = nodes.withColumn("metadata", F.when(F.col("id") == "c2", F.lit('{"__x":1,"label":"no","n":{"a":[1]},"q":"\\"é"}')).otherwise(F.col("metadata")))
@@ -398,6 +412,9 @@ def test_exports(spark, tmp_path):
     exports.split_states(nodes, edges, str(tmp_path / "d.md"))
     assert spark.read.parquet(str(tmp_path / "d.draft.md")).where("n_claims = 1").count() == 1 and spark.read.parquet(str(tmp_path / "d.md")).where("n_claims = 1").count() == 0
     board = spark.createDataFrame([("overall", 1, "a|b", 8.5)], "dimension string, rank int, model string, mean double")
+    assert json.loads(exports.report_json({"board": board})) == {"board": [{"dimension": "overall", "rank": 1, "model": "a|b", "mean": 8.5}]}
+    with pytest.raises(ValueError, match="more than 0"):
+        exports.report_json({"board": board}, 0)
     assert exports.report_markdown(board).endswith("| 1 | a\\|b | 8.50 |")
 
 
