@@ -276,10 +276,12 @@ def repeated(docs: DataFrame, length: int = 35, *, id_col: str = "doc_id", text_
     spans = [written(whole)]
     discard(found)
 
-    first = classes.groupBy("seed").agg(F.count("*").alias("m"), F.min("who").alias("rep")).where("m > 1")
+    # written, so that Spark may split a common seed's partition in the join
+    first = written(classes.groupBy("seed").agg(F.count("*").alias("m"), F.min("who").alias("rep")).where("m > 1").select("seed", "rep"))
     open_ = classes.join(first.hint("merge"), "seed").select("who.*", "seed", "n", (F.col("who") == F.col("rep")).alias("first"))
     open_ = written(open_.groupBy("d", "t").agg(F.collect_list(F.struct("seed", "at", "n", "first")).alias("open")))
-    discard(classes)
+    for df in (classes, first):
+        discard(df)
     contexts = written(source.join(open_.hint("merge"), ["d", "t"]).select("d", "t", "text", "open").mapInArrow(_context_batches(length), f"{AT}, seed long, n long, first boolean, context binary"))
     discard(open_)
 
