@@ -48,8 +48,8 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what written() wrote for df, and lets Spark remove shuffle files that nothing refers to any more.
+def discard(df: DataFrame, sweep: bool = True) -> None:
+    """Deletes what written() wrote for df, and (sweep) lets Spark remove shuffle files that nothing refers to any more.
 
     Only for a table whose readers have been written themselves: nothing derived from it may run again.
     """
@@ -57,8 +57,9 @@ def discard(df: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(df._written_at)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    jvm.System.gc()
+    if sweep:
+        gc.collect()
+        jvm.System.gc()
 
 
 def give_back() -> None:
@@ -82,12 +83,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most so many rows (a smaller setting stays), which bounds a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def arrow_rows(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Sets Arrow batches of at most so many rows and about so many bytes for the session (smaller settings stay).
+
+    This bounds a worker's memory: many long texts make several batches, and only a text longer than that is a batch alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def crc_mod(column: str, n: int):
@@ -105,12 +109,12 @@ def sampled(df: DataFrame, key: str, rows: int, group: str | None = None) -> Dat
     df = df.where(F.col(key).isNotNull())
     parts = 1 << 30
     place = F.pmod(F.xxhash64(F.lit(20177), F.col(key)), F.lit(parts))
-    counts = {r[0]: r[1] for r in df.groupBy(F.col(group) if group else F.lit(0)).count().collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(F.col(group) if group else F.lit("")).count().collect()}
     rare = [g for g, n in counts.items() if n <= rows]
     if len(rare) == len(counts):
         return df
     if group is None:
-        return df.where(place < F.lit(int(parts * rows / counts[0])))
+        return df.where(place < F.lit(int(parts * rows / counts[""])))
     limits = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, parts if n <= rows else int(parts * rows / n))])
     return df.where(place < limits[F.col(group)])
 
