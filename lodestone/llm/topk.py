@@ -33,6 +33,9 @@ class Block:
         self.ids, self.vectors = ids, vectors.astype(np.int64)
         self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        self.most = int(np.abs(self.vectors).max(initial=0))
+        # half as wide where no impact can overflow it
+        self.narrow = self.sorted.astype(np.int32) if self.most < 1 << 31 else None
 
     def top(self, own: int, query: np.ndarray, k: int, levels: int = 3, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of every candidate that can be among the k best; at least all of the k best."""
@@ -40,7 +43,10 @@ class Block:
         able = self.ids != own
         edge = np.where(query >= 0, self.sorted[:, 0], self.sorted[:, -1]) * query
         most = np.where(query >= 0, self.sorted[:, -1], self.sorted[:, 0]) * query - edge
-        acc = np.zeros(n, dtype=np.int64)
+        largest = int(np.abs(query).max(initial=0))
+        fits = self.narrow is not None and 2 * dims * self.most * largest < 1 << 31
+        values = self.narrow if fits else self.sorted
+        acc = np.zeros(n, dtype=values.dtype)
         start = np.full(dims, n)
         up = query >= 0
         for level in range(levels - 1, -1, -1):
@@ -55,7 +61,7 @@ class Block:
                     to = n - int(np.searchsorted(self.sorted[d], (floor + e) // w, side="right"))
                     span = slice(n - start[d], n - to)
                 if span.start < span.stop:
-                    acc[self.order[d, span]] += self.sorted[d, span] * w - e
+                    acc[self.order[d, span]] += values[d, span] * values.dtype.type(w) - values.dtype.type(e)
                 start[d] = min(start[d], to)
             if level == 0:
                 rest = 0
@@ -101,11 +107,15 @@ def quantised(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null").where(usable).select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, *, block_rows: int = 8192, least_blocks: int = 8, query_rows: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score) over (vec_id, v array<long>) candidates and queries."""
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, *, block_rows: int = 8192, least_tasks: int = 8, query_rows: int = 2048) -> DataFrame:
+    """(query_id, rank, vec_id, score) over (vec_id, v array<long>) candidates and queries.
+
+    A task has one block of candidates and one part of the queries. A query costs a block's dimensions, not its rows, in
+    steps, so blocks are full and a small table's tasks come from dealing out its queries.
+    """
     candidates, queries = written(candidates), written(queries)
-    blocks = max(least_blocks, -(-candidates.count() // block_rows))
-    parts = max(1, -(-queries.count() // query_rows))
+    blocks = max(1, -(-candidates.count() // block_rows))
+    parts = max(-(-queries.count() // query_rows), -(-least_tasks // blocks))
     deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("vec_id"), F.col("v")), F.lit(n)).cast("int")
     left = queries.withColumn("part", deal(parts, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # repeated rows would meet in one block: the row number deals them out
