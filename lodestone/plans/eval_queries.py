@@ -75,7 +75,7 @@ def eval_costs(spark, d):
     return evaluate.costs(rows).withColumns({c: F.round(c, 3) for c in ("extraction_usd", "judge_usd", "total_usd")})
 
 
-@query("""SELECT count_if(o_orderkey % 4 <> 0) AS cells_actual, count_if(o_orderkey % 4 = 0 AND o_orderkey % 8 = 0) AS cells_estimated, sum(CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END)::BIGINT AS actual_input,
+@query("""SELECT count_if(o_orderkey % 4 <> 0)::BIGINT AS cells_actual, count_if(o_orderkey % 4 = 0 AND o_orderkey % 8 = 0)::BIGINT AS cells_estimated, sum(CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END)::BIGINT AS actual_input,
   sum(CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey % 100 END)::BIGINT AS actual_output, round(sum(CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END), 2) AS actual_usd FROM orders""")
 def eval_usage(spark, d):
     k = F.col("o_orderkey")
