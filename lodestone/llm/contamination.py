@@ -19,6 +19,8 @@ Extra columns are ignored by `contaminated` and kept by `decontaminated`.
 
 from __future__ import annotations
 
+from collections import deque
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.tables import arrow_rows, discard, lean, with_text, written
 
 BLOCK_CHARS = 4_000_000
+#: How many windows of an item are remembered, so that they are not measured again.
+RECENT = 16
 
 
 def normalised(text: str) -> str:
@@ -98,7 +102,8 @@ class Matcher:
         if not self.items or not text:
             return []
         text = normalised(text)
-        tried: dict[int, list[tuple[int, int]]] = {}
+        # the last windows of each item: pieces of one occurrence lie close together
+        tried: dict[int, deque[tuple[int, int]]] = {}
         best: dict[int, tuple[int, int]] = {}
         for last, (size, owners) in self.automaton.iter(text):
             for i, offset in owners:
@@ -107,10 +112,11 @@ class Matcher:
                     continue
                 start = last + 1 - size - offset
                 lo, hi = max(0, start - k), min(len(text), start + len(item) + k)
-                if k and any(a <= lo and hi <= b for a, b in tried.get(i, ())):
-                    continue
                 if k:
-                    tried.setdefault(i, []).append((lo, hi))
+                    windows = tried.setdefault(i, deque(maxlen=RECENT))
+                    if any(a <= lo and hi <= b for a, b in windows):
+                        continue
+                    windows.append((lo, hi))
                 if start >= 0 and text.startswith(item, start):
                     if len(item) >= self.min_chars or apart(text, start, start + len(item)):
                         best[i] = (0, start + len(item))
