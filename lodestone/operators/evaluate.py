@@ -30,8 +30,12 @@ def unpivoted(rows: DataFrame, keys: list[str], dimensions: tuple[str, ...] = DI
 
 
 def consensus(scores: DataFrame, keys: list[str], dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """(keys..., dimension, judges, mean, variance, high_variance): mean and population variance to two decimals; one judge has variance 0."""
-    v = F.var_pop("value")
+    """(keys..., dimension, judges, mean, variance, high_variance): mean and population variance to two decimals; one judge has variance 0.
+
+    The variance is taken to nine decimals first: its last bits follow the order in which rows arrive, and a variance of
+    just the limit is not high.
+    """
+    v = F.round(F.var_pop("value"), 9)
     return unpivoted(scores, keys, dimensions).groupBy(*keys, "dimension").agg(F.count("*").alias("judges"), F.round(F.avg("value"), 2).alias("mean"), F.round(v, 2).alias("variance"), (v > HIGH_VARIANCE).alias("high_variance"))
 
 
