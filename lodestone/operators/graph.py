@@ -114,8 +114,12 @@ def page(rows: DataFrame, keys: tuple[str, ...], limit: int, cursor: str | None
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Classifies a batch: keys, values after it, action created, updated or noop; the last row of `seq` of a key wins."""
-    last = incoming.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("seq")))).where("_rn = 1")
+    """Classifies a batch: keys, values after it, action created, updated or noop; the last row of `seq` of a key wins.
+
+    Of rows with equal `seq` the first by `place` wins, where incoming has that column; without it, any of them.
+    """
+    order = [F.desc("seq"), *[F.col(c) for c in incoming.columns if c == "place"]]
+    last = incoming.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1")
     new = last.select(*keys, *[F.col(v).alias("_" + v) for v in values], F.lit(True).alias("_new"))
     old = target.select(*keys, *values, F.lit(True).alias("_old"))
     same = reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.col("_" + v)) for v in values])

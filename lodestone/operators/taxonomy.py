@@ -2,7 +2,7 @@
 
 Tables: categories (id, name, parent_id, sort_order), topics (id, name, category_id, sort_order),
 tags (id, name, topic_ids, aliases, color), assignments (node_id, tag_id, confidence, source). Adding, updating and assigning
-is one upsert by key, in which the last row by `seq` wins; deleting never cascades.
+is one upsert by key, in which the last row by `seq` wins (of equal ones the first by `place`, if given); deleting never cascades.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def remove(table: str, held: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def assigned(assignments: DataFrame, incoming: DataFrame) -> DataFrame:
-    """assignments after a batch (node_id, tag_id, confidence, source, seq): confidence is 1 and source manual where they are null."""
+    """assignments after a batch (node_id, tag_id, confidence, source, seq[, place]): confidence is 1 and source manual where they are null."""
     filled = incoming.withColumns({"confidence": F.coalesce("confidence", F.lit(1.0)), "source": F.coalesce("source", F.lit("manual"))})
     return put("assignments", assignments, filled)
 

@@ -239,12 +239,14 @@ SELECT node_id, tag_id, coalesce(arg_max(confidence IS NULL, seq), true) AS by_d
 def taxonomy_assignments(spark, d):
     rows = table(spark, d, "lineitem")
     n = F.col("l_linenumber")
+    # lines of an order may have the same number: of these the first in the table counts, as in SQL on one thread
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
     rows = rows.select(
         F.concat(F.lit("task-"), "l_orderkey").alias("node_id"), F.concat(F.lit("tag-"), F.col("l_partkey") % 50).alias("tag_id"), F.when(n % 2 == 0, F.col("l_discount") * 10).alias("confidence"),
-        F.when(n % 3 == 0, "automatic").when(n % 3 == 1, "guess").alias("source"), n.alias("seq"),
+        F.when(n % 3 == 0, "automatic").when(n % 3 == 1, "guess").alias("source"), n.alias("seq"), place,
     )
     good = rows.where(taxonomy.assignment_errors().isNull()).withColumn("by_default", F.col("confidence").isNull())
-    held = good.drop("seq").limit(0)
+    held = good.drop("seq", "place").limit(0)
     return taxonomy.assigned(held, good)
 
 
