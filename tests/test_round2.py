@@ -39,3 +39,30 @@ def test_equal_seq_goes_by_place(spark):
     for parts in (1, 7):
         got = taxonomy.assigned(none, df.repartition(parts)).collect()
         assert [tuple(r) for r in got] == [("n", "t", 0.0, "manual")]
+
+
+def test_pairs_are_listed_slice_by_slice(spark, monkeypatch):
+    from lodestone.llm import ngram_join
+
+    rng, shingles, made = random.Random(3), lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}, []
+    for i in range(60):
+        text = [f"w{i // 20}-{j}" for j in range(60)]
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        made.append((i, text))
+    docs, numbers = spark.createDataFrame([(i, " ".join(t)) for i, t in made], "doc_id long, text string"), []
+
+    def parts(dfs, real=ngram_join.written_parts):
+        dfs = list(dfs)
+        numbers.append(len(dfs))
+        return real(dfs)
+
+    monkeypatch.setattr(ngram_join, "written_parts", parts)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.grouped(docs).collect()}
+    want = {i: i for i, _ in made}
+    for _ in made:
+        for (i, s), (j, t) in itertools.combinations(made, 2):
+            a, b = shingles(s), shingles(t)
+            if 100 * len(a & b) >= 80 * len(a | b):
+                want[i] = want[j] = min(want[i], want[j])
+    assert got == want and numbers[0] == 4 and numbers[1] > 1
