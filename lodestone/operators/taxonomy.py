@@ -88,14 +88,17 @@ def tagged_content(nodes: DataFrame, tags: DataFrame) -> DataFrame:
     A content meets only the names whose first three characters it holds (the first one, for names shorter than that).
     """
     names = tags.select(F.col("id").alias("tag_id"), F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda a: F.lower(a)))).alias("name")).where("name <> ''")
-    held = nodes.select(F.col("id").alias("node_id"), F.lower("content").alias("text")).where("text <> ''")
+    told = nodes.select(F.col("id").alias("node_id"), F.lower("content").alias("text")).where("text <> ''")
+    # equal contents are searched once; merged, as Spark takes exploded contents for small and would send them to the driver
+    held = told.select("text").distinct()
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
     long = names.where(F.length("name") >= 3).withColumn("gram", F.substring("name", 1, 3))
     texts = held.where(F.length("text") >= 3).withColumn("gram", F.explode(F.array_distinct(grams(F.col("text")))))
-    met = texts.join(long, "gram").where(F.contains("text", "name")).select("node_id", "tag_id")
+    met = texts.join(long.hint("merge"), "gram").where(F.contains("text", "name")).select("text", "tag_id")
     short = names.where(F.length("name") < 3).withColumn("gram", F.substring("name", 1, 1))
     chars = held.withColumn("gram", F.explode(F.array_distinct(F.split("text", ""))))
-    return met.unionByName(chars.join(short, "gram").where(F.contains("text", "name")).select("node_id", "tag_id")).distinct()
+    met = met.unionByName(chars.join(short.hint("merge"), "gram").where(F.contains("text", "name")).select("text", "tag_id")).distinct()
+    return told.join(met.hint("merge"), "text").select("node_id", "tag_id").distinct()
 
 
 def circular(categories: DataFrame) -> DataFrame:

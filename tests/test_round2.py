@@ -66,3 +66,11 @@ def test_pairs_are_listed_slice_by_slice(spark, monkeypatch):
             if 100 * len(a & b) >= 80 * len(a | b):
                 want[i] = want[j] = min(want[i], want[j])
     assert got == want and numbers[0] == 4 and numbers[1] > 1
+
+
+def test_contents_are_not_sent_to_the_driver(spark):
+    nodes = spark.createDataFrame([("a", "Big Steel Bolt"), ("b", "big steel bolt"), ("c", "ox"), ("d", None)], "id string, content string")
+    tags = spark.createDataFrame([("t", "STEEL", ["ox"]), ("u", "o", None)], "id string, name string, aliases array<string>")
+    out = taxonomy.tagged_content(nodes, tags)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("a", "t"), ("a", "u"), ("b", "t"), ("b", "u"), ("c", "t"), ("c", "u")]
