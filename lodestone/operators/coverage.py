@@ -6,6 +6,8 @@ Gold: video, gold_id, seq, depth, text. Candidates: video, index, text. Only pai
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -77,6 +79,70 @@ def matches(scored: DataFrame, mode: str = "semantic") -> DataFrame:
     return rows.groupBy("video").applyInPandas(greedy, rows.schema).drop("embedding_or_0")
 
 
+def matches_of(gold: DataFrame, candidates: DataFrame, mode: str = "semantic", embeddings: DataFrame | None = None) -> DataFrame:
+    """`matches` of all pairs, but equal texts of a video are scored once, and their pairs are never listed.
+
+    The fold has a video's keys and the eligible pairs of its different texts.
+    """
+    (golds, first), (others, second) = _copies(gold, "gold_id"), _copies(candidates, "index")
+    scored = pairs(first, second, embeddings).where(eligible(mode)).withColumns({"score": rank_score(mode), "kind": kind(mode), "embedding_or_0": _embedding()})
+    of = scored.select(F.lit(0).alias("part"), "video", F.col("gold_id").alias("gold_of"), F.col("index").alias("index_of"), "exact", "lexical", "semantic", "embedding", "score", "kind", "embedding_or_0")
+    rows = of.unionByName(golds.select(F.lit(1).alias("part"), "video", F.col("of").alias("gold_of"), "gold_id", "seq"), allowMissingColumns=True)
+    rows = rows.unionByName(others.select(F.lit(2).alias("part"), "video", F.col("of").alias("index_of"), "index"), allowMissingColumns=True)
+    rows = rows.select("part", "video", "gold_of", "index_of", "gold_id", "seq", "index", "exact", "lexical", "semantic", "embedding", "score", "kind", "embedding_or_0")
+    out = rows.repartition("video").groupBy("video").applyInPandas(_typed, rows.schema)
+    return out.drop("part", "gold_of", "index_of", "seq", "embedding_or_0")
+
+
+def _typed(rows: pd.DataFrame) -> pd.DataFrame:
+    """greedy_copies with integer keys that nulls of other parts would make floats."""
+    for c in ("index", "index_of", "seq"):
+        if rows[c].dtype.kind == "f":
+            rows[c] = rows[c].astype("Int64")
+    return greedy_copies(rows)
+
+
+def _copies(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(video, key, of) with the least key of the equal texts of a video, and the rows whose key that is."""
+    least = rows.where("text IS NOT NULL").groupBy("video", "text").agg(F.min(key).alias("of"))
+    # merged: tables that look small in files must not go to the driver
+    return rows.join(least.hint("merge"), ["video", "text"]).select("video", key, *(["seq"] if "seq" in rows.columns else []), "of"), rows.join(least.select("video", F.col("of").alias(key)).hint("merge"), ["video", key], "left_semi")
+
+
+def greedy_copies(rows: pd.DataFrame) -> pd.DataFrame:
+    """`greedy` over the pairs of representatives (part 0) for all golds (part 1) and candidates (part 2) with their texts."""
+    queue = {of: sorted(g["index"].tolist()) for of, g in rows[rows["part"] == 2].groupby("index_of")}
+    open_ = {of: sorted(zip(g["seq"], g["gold_id"], strict=True)) for of, g in rows[rows["part"] == 1].groupby("gold_of")}
+    head, done, out = dict.fromkeys(queue, 0), dict.fromkeys(open_, 0), []
+    ties = ["score", "embedding_or_0", "lexical"]
+    # pairs that tie in scores go by seq, then index, whichever texts they have
+    for _, level in rows[rows["part"] == 0].sort_values(ties, ascending=False).groupby(ties, sort=False):
+        heaps = {}
+        for i, g, c in zip(level.index, level["gold_of"], level["index_of"], strict=True):
+            if done[g] < len(open_[g]) and head[c] < len(queue[c]):
+                heaps.setdefault(g, []).append((queue[c][head[c]], c, i))
+        for h in heaps.values():
+            heapq.heapify(h)
+        now = dict(done)
+        for _, gold_id, g in sorted((seq, gold_id, g) for g in heaps for seq, gold_id in open_[g][done[g] :]):
+            h = heaps[g]
+            while h:
+                index, c, i = h[0]
+                if head[c] >= len(queue[c]):
+                    heapq.heappop(h)
+                elif queue[c][head[c]] != index:
+                    heapq.heapreplace(h, (queue[c][head[c]], c, i))
+                else:
+                    # of a gold's copies the first ones are matched, as all see the same candidates
+                    head[c], now[g] = head[c] + 1, now[g] + 1
+                    out.append((i, gold_id, index))
+                    break
+        done = now
+    kept = rows.loc[[i for i, _, _ in out]].copy()
+    kept["gold_id"], kept["index"] = [x[1] for x in out], [x[2] for x in out]
+    return kept
+
+
 def summary(gold: DataFrame, matched: DataFrame) -> DataFrame:
     """(video, matched, total, ratio, roots_matched, roots_total, root_ratio, children_matched, children_total, child_ratio)."""
     rows = gold.select("video", "gold_id", "depth").join(matched.select("video", "gold_id", F.lit(True).alias("hit")), ["video", "gold_id"], "left")

@@ -183,7 +183,7 @@ def coverage_pairs(spark, d):
 
 @query()
 def coverage_matches(spark, d):
-    out = coverage.matches(coverage.pairs(*_claims(spark, d)), "semantic")
+    out = coverage.matches_of(*_claims(spark, d), "semantic")
     return out.select("video", "gold_id", "index", "kind", F.round("score", 6).alias("score"))
 
 

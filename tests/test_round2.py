@@ -74,3 +74,16 @@ def test_contents_are_not_sent_to_the_driver(spark):
     out = taxonomy.tagged_content(nodes, tags)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [("a", "t"), ("a", "u"), ("b", "t"), ("b", "u"), ("c", "t"), ("c", "u")]
+
+
+def test_matches_of_copies_equal_greedy_over_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["red", "blue", "bolt", "gear", "ring", "plate", "old", "new"]
+    made = [(f"v{i % 3}", i, " ".join(rng.choice(words) for _ in range(rng.choice((2, 2, 3, 5))))) for i in range(150)]
+    rows = spark.createDataFrame([(v, i, None if i % 29 == 0 else t) for v, i, t in made], "video string, k long, text string")
+    gold = rows.where("k % 4 = 0").select("video", F.concat(F.lit("g"), "k").alias("gold_id"), F.col("k").alias("seq"), (F.col("k") % 2).alias("depth"), "text")
+    others = rows.where("k % 4 <> 0").select("video", F.col("k").alias("index"), "text")
+    told = lambda df: sorted(map(tuple, df.select("video", "gold_id", "index", "kind", "score", "lexical").collect()))
+    for mode in coverage.MODES:
+        want = told(coverage.matches(coverage.pairs(gold, others), mode))
+        assert want and told(coverage.matches_of(gold, others, mode)) == want
