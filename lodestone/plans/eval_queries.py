@@ -190,7 +190,7 @@ def coverage_matches(spark, d):
 @query()
 def coverage_summary(spark, d):
     gold, candidates = _claims(spark, d)
-    return coverage.summary(gold, coverage.matches(coverage.pairs(gold, candidates), "strict"))
+    return coverage.summary(gold, coverage.matches_of(gold, candidates, "strict"))
 
 
 @query(f"""WITH {_PARTS}, n AS (SELECT k, l, list_transform(range(1, len(l)), lambda i: l[i] || '_' || l[i + 1]) AS two, list_transform(range(1, len(l) - 1), lambda i: l[i] || '_' || l[i + 1] || '_' || l[i + 2]) AS three, w FROM tk),
