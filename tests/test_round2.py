@@ -87,3 +87,43 @@ def test_matches_of_copies_equal_greedy_over_all_pairs(spark):
     for mode in coverage.MODES:
         want = told(coverage.matches(coverage.pairs(gold, others), mode))
         assert want and told(coverage.matches_of(gold, others, mode)) == want
+
+
+def test_stage_that_joins_neither_copies_nor_shuffles_texts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from lodestone.llm import ngram_join, tables
+
+    texts = [f"some text of number {i % 40} and more words {i % 40}" for i in range(200)]
+    made = [(i % 90, t, None, "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string").repartition(5).write.parquet(f"{tmp_path}/docs")
+    wide = []
+
+    def noted(df, real=tables.written):
+        wide.append([f.name for f in df.schema if f.dataType.simpleString() == "string"])
+        return real(df)
+
+    for where in (tables, ngram_join):
+        monkeypatch.setattr(where, "written", noted)
+    monkeypatch.setattr(corpus_pipeline, "written", noted)
+    out = corpus_pipeline.one_of_each(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+    assert out.columns == ["doc_id", "text", "lang", "source"] and not any(wide)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["text"] for r in out.collect()) == sorted(set(texts))
+
+
+def test_numbers_and_bits_tell_rows_apart(spark, tmp_path):
+    from lodestone.llm import tables
+
+    spark.range(70_000).selectExpr("id AS `a.b`", "id % 7 AS _path", "id AS _metadata").repartition(3).write.option("maxRecordsPerFile", 9_000).parquet(f"{tmp_path}/odd %20 name")
+    read = spark.read.parquet(f"{tmp_path}/odd %20 name")
+    for df in (read, read.unionByName(read), read.where("`a.b` < 50"), read.where("false")):
+        rows = tables.numbered(df, "n")
+        assert rows.columns == ["a.b", "_path", "_metadata", "n"] and rows.select("n").distinct().count() == rows.count() == df.count()
+    rows = tables.numbered(read, "n")
+    kept = tables.within(rows, F.col("n"), tables.bits(rows.where("`a.b` % 3 = 0"), "n"))
+    assert sorted(r[0] for r in kept.collect()) == list(range(0, 70_000, 3))
+    edges = [0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 1 << 36, (1 << 62) + 5]
+    df = spark.createDataFrame([(x,) for x in edges], "n long")
+    for some in (edges[::2], edges[1::2], []):
+        found = tables.bits(df.where(F.col("n").isin(some)), "n")
+        assert sorted(r["n"] for r in tables.within(df, F.col("n"), found).collect()) == sorted(some)
