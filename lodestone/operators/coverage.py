@@ -22,8 +22,33 @@ MODES = ("strict", "semantic", "embedding")
 def pairs(gold: DataFrame, candidates: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
     """(video, gold_id, seq, depth, index, exact, lexical, semantic, embedding) of the pairs that share a word or a text.
 
-    embeddings: (gold_text, candidate_text, similarity), or null similarities without it.
+    embeddings: (gold_text, candidate_text, similarity), or null similarities without it. Equal texts of a video are scored once.
     """
+    (golds, first), (others, second) = copies(gold, "gold_id"), copies(candidates, "index")
+    return spread(scores(first, second, embeddings).drop("seq", "depth"), golds, others).select("video", "gold_id", "seq", "depth", "index", "exact", "lexical", "semantic", "embedding")
+
+
+def spread(scored: DataFrame, golds: DataFrame, others: DataFrame, most: int = 256) -> DataFrame:
+    """Pairs of representatives as the pairs of all their copies: every row of golds and others (keys and `of`) with the scores.
+
+    Only lists of about `most` copies meet the scored pairs; their pairs arise row by row behind the last shuffle.
+    """
+
+    def lists(rows: DataFrame, of: str, key: str) -> DataFrame:
+        row = F.struct(*[c for c in rows.columns if c not in ("video", "of")])
+        parts = rows.groupBy("video", "of").agg(F.ceil(F.count("*") / most).alias("parts"))
+        dealt = rows.join(parts.hint("merge"), ["video", "of"]).withColumn("part", F.pmod(F.xxhash64(key), "parts"))
+        return dealt.groupBy("video", F.col("of").alias(of), "part").agg(F.collect_list(row).alias(f"{of}_rows")).drop("part")
+
+    told = [c for c in scored.columns if c not in ("video", "gold_id", "index")]
+    met = scored.withColumnsRenamed({"gold_id": "gold_of", "index": "index_of"})
+    met = met.join(lists(golds, "gold_of", "gold_id").hint("merge"), ["video", "gold_of"]).join(lists(others, "index_of", "index").hint("merge"), ["video", "index_of"])
+    each = met.select("video", *told, "index_of_rows", F.explode("gold_of_rows").alias("g"))
+    return each.select("video", *told, "g", F.explode("index_of_rows").alias("c")).select("video", "g.*", "c.*", *told)
+
+
+def scores(gold: DataFrame, candidates: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
+    """`pairs`, row against row."""
     told = lambda df, *keys: df.select("video", *keys, "text", text.key(F.col("text")).alias("k"), verify.features(F.col("text")).alias("f"))
     left, right = told(gold, "gold_id", "seq", "depth"), told(candidates, "index")
     terms = lambda df, key: df.select("video", key, F.explode(F.array_union("f.words", F.array(F.concat(F.lit("="), "k")))).alias("term"))
@@ -84,8 +109,8 @@ def matches_of(gold: DataFrame, candidates: DataFrame, mode: str = "semantic", e
 
     The fold has a video's keys and the eligible pairs of its different texts.
     """
-    (golds, first), (others, second) = _copies(gold, "gold_id"), _copies(candidates, "index")
-    scored = pairs(first, second, embeddings).where(eligible(mode)).withColumns({"score": rank_score(mode), "kind": kind(mode), "embedding_or_0": _embedding()})
+    (golds, first), (others, second) = copies(gold, "gold_id"), copies(candidates, "index")
+    scored = scores(first, second, embeddings).where(eligible(mode)).withColumns({"score": rank_score(mode), "kind": kind(mode), "embedding_or_0": _embedding()})
     of = scored.select(F.lit(0).alias("part"), "video", F.col("gold_id").alias("gold_of"), F.col("index").alias("index_of"), "exact", "lexical", "semantic", "embedding", "score", "kind", "embedding_or_0")
     rows = of.unionByName(golds.select(F.lit(1).alias("part"), "video", F.col("of").alias("gold_of"), "gold_id", "seq"), allowMissingColumns=True)
     rows = rows.unionByName(others.select(F.lit(2).alias("part"), "video", F.col("of").alias("index_of"), "index"), allowMissingColumns=True)
@@ -102,11 +127,11 @@ def _typed(rows: pd.DataFrame) -> pd.DataFrame:
     return greedy_copies(rows)
 
 
-def _copies(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def copies(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(video, key, of) with the least key of the equal texts of a video, and the rows whose key that is."""
     least = rows.where("text IS NOT NULL").groupBy("video", "text").agg(F.min(key).alias("of"))
     # merged: tables that look small in files must not go to the driver
-    return rows.join(least.hint("merge"), ["video", "text"]).select("video", key, *(["seq"] if "seq" in rows.columns else []), "of"), rows.join(least.select("video", F.col("of").alias(key)).hint("merge"), ["video", key], "left_semi")
+    return rows.join(least.hint("merge"), ["video", "text"]).select("video", key, *[c for c in ("seq", "depth") if c in rows.columns], "of"), rows.join(least.select("video", F.col("of").alias(key)).hint("merge"), ["video", key], "left_semi")
 
 
 def greedy_copies(rows: pd.DataFrame) -> pd.DataFrame:

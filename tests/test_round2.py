@@ -127,3 +127,17 @@ def test_numbers_and_bits_tell_rows_apart(spark, tmp_path):
     for some in (edges[::2], edges[1::2], []):
         found = tables.bits(df.where(F.col("n").isin(some)), "n")
         assert sorted(r["n"] for r in tables.within(df, F.col("n"), found).collect()) == sorted(some)
+
+
+def test_pairs_of_copies_arise_behind_the_last_shuffle(spark):
+    made = [(f"v{i % 2}", i, None if i % 23 == 0 else ("red bolt", "a bolt", "blue ring", "the", "Red bolt!")[i % 5]) for i in range(120)]
+    rows = spark.createDataFrame(made, "video string, k long, text string")
+    gold = rows.where("k % 3 = 0").select("video", F.concat(F.lit("g"), "k").alias("gold_id"), F.col("k").alias("seq"), (F.col("k") % 2).alias("depth"), "text")
+    others = rows.where("k % 3 <> 0").select("video", F.col("k").alias("index"), "text")
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    out, want = coverage.pairs(gold, others), told(coverage.scores(gold, others))
+    assert out.columns == coverage.scores(gold, others).columns and len(want) > 300 and told(out) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange") and "HashAggregate" not in plan[: plan.index("Exchange")]
+    (golds, first), (others_, second) = coverage.copies(gold, "gold_id"), coverage.copies(others, "index")
+    assert told(coverage.spread(coverage.scores(first, second).drop("seq", "depth"), golds, others_, most=2).select(out.columns)) == want
