@@ -3,6 +3,34 @@
 from pyspark.sql import functions as F
 
 
+def test_prefixes_are_written_where_they_are_made(spark, monkeypatch):
+    from lodestone.llm import ngram_join
+
+    texts = [" ".join(f"w{i // 3}-{j}" for j in range(60)) + f" x{i % 3}" for i in range(60)]
+    made = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)]
+    plans, numbers = [], []
+
+    def noted(df, real=ngram_join.written):
+        if df.columns == ["key", "prefix"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    def parts(dfs, real=ngram_join.written_parts):
+        dfs = list(dfs)
+        numbers.append(len(dfs))
+        return real(dfs)
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    monkeypatch.setattr(ngram_join, "written_parts", parts)
+    for times in (1, 3):  # rows that are repeated whole are brought together by key
+        docs = spark.createDataFrame(made * times, "doc_id long, text string").repartition(3)
+        _, firsts = ngram_join.classes(docs)
+        assert ngram_join.links(docs, firsts, slices=1, turn=1).count() == 40
+        assert len(plans) == times // 2 + 1 and "Exchange hashpartitioning" not in plans[0] and numbers[0] == 4
+        plans.clear()
+        numbers.clear()
+
+
 def test_sweeping_waits_for_the_cleaner(spark):
     from lodestone.llm import tables
 
