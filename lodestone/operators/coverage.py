@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -105,26 +106,154 @@ def matches(scored: DataFrame, mode: str = "semantic") -> DataFrame:
 
 
 def matches_of(gold: DataFrame, candidates: DataFrame, mode: str = "semantic", embeddings: DataFrame | None = None) -> DataFrame:
-    """`matches` of all pairs, but equal texts of a video are scored once, and their pairs are never listed.
-
-    The fold has a video's keys and the eligible pairs of its different texts.
+    """`matches` of all pairs, which are never listed: the fold has the features and keys of one video's different texts, and scores them."""
+
+    def texts(rows: DataFrame, side: int, *keys: str) -> DataFrame:
+        held = rows.where("video IS NOT NULL AND text IS NOT NULL").groupBy("video", "text").agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("held"))
+        f = held.select("video", "text", "held", text.key(F.col("text")).alias("k"), verify.features(F.col("text")).alias("f"))
+        return f.select("video", F.lit(side).alias("side"), *[F.col(f"held.{x}").alias(x) for x in keys], "k", "f.words", "f.phrases", "f.low", "f.few", *(["text"] if embeddings is not None else []))
+
+    firsts, seconds = texts(gold, 0, "seq", "gold_id"), texts(candidates, 1, "index")
+    rows = firsts.unionByName(seconds, allowMissingColumns=True)
+    if embeddings is not None:
+        near = embeddings.groupBy("gold_text", "candidate_text").agg(F.max_by("similarity", F.coalesce("similarity", F.lit(0.0))).alias("similarity"))
+        of = near.join(firsts.select("video", F.col("text").alias("gold_text")), "gold_text").join(seconds.select("video", F.col("text").alias("candidate_text")), ["video", "candidate_text"])
+        rows = rows.unionByName(of.select("video", F.lit(2).alias("side"), F.col("gold_text").alias("text"), F.col("candidate_text").alias("k"), "similarity"), allowMissingColumns=True)
+    of = {f.name: f.dataType.simpleString() for df in (gold, candidates) for f in df.schema}
+    schema = f"video {of['video']}, gold_id {of['gold_id']}, index {of['index']}, exact boolean, lexical double, semantic double, embedding double, score double, kind string"
+    # a video's texts are few bytes and take long: their tasks must not be put together by size
+    tasks = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "video").groupBy("video").applyInPandas(_matched(mode), schema)
+
+
+class _Postings:
+    """Candidates by what they hold: how many of a claim's distinct items each of them shares."""
+
+    def __init__(self, sets: list):
+        self.codes: dict = {}
+        flat = np.array([self.codes.setdefault(x, len(self.codes)) for s in sets for x in s], dtype=np.int64)
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.rows = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(flat, kind="stable")]
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=len(self.codes))))) if len(flat) else np.zeros(1, dtype=np.int64)
+
+    def shared(self, items: set) -> np.ndarray:
+        found = [self.rows[self.ends[i] : self.ends[i + 1]] for x in items if (i := self.codes.get(x)) is not None]
+        return np.bincount(np.concatenate(found), minlength=len(self.sizes)) if found else np.zeros(len(self.sizes), dtype=np.int64)
+
+    def jaccard(self, items: set, shared: np.ndarray) -> np.ndarray:
+        """text.jaccard."""
+        return shared / np.maximum(len(items) + self.sizes - shared, 1)
+
+
+def _ngrams(words: list[str], n: int) -> set:
+    return set(zip(*[words[i:] for i in range(n)], strict=False))
+
+
+class _Scores:
+    """The scores of one video's gold texts against all of its candidates' texts, as `scores` has them."""
+
+    def __init__(self, others: pd.DataFrame, near: dict):
+        words = [list(w) for w in others["words"]]
+        self.words, self.phrases = _Postings([{*w} for w in words]), _Postings([{*p} for p in others["phrases"]])
+        self.grams = {n: _Postings([_ngrams(w, n) for w in words]) for n in (2, 3)}
+        self.length, self.k, self.low = np.array([len(w) for w in words]), others["k"].to_numpy(dtype=object), others["low"].to_numpy(dtype=object)
+        self.near = near
+
+    def of(self, g) -> tuple[np.ndarray, ...]:
+        """(there, exact, lexical, semantic, embedding): there where a pair shares a word or a normalised text."""
+        words, phrases = list(g.words), {*g.phrases}
+        exact, both = self.k == g.k, self.words.shared({*words})
+        plain = self.words.jaccard({*words}, both)
+
+        def overlap(n: int) -> np.ndarray:
+            if len(words) < n:
+                return plain
+            grams = _ngrams(words, n)
+            return np.where(self.length < n, plain, self.grams[n].jaccard(grams, self.grams[n].shared(grams)))
+
+        semantic = overlap(2) * verify.BIGRAMS + overlap(3) * verify.TRIGRAMS + self.phrases.jaccard(phrases, self.phrases.shared(phrases)) * verify.PHRASES
+        if g.few:
+            semantic = np.where(self.low == g.low, 1.0, semantic)
+        embedding = np.full(len(plain), np.nan)
+        for c, x in self.near.get(g.Index, ()):
+            embedding[c] = x
+        return (both > 0) | exact, exact, np.where(exact, 1.0, plain), np.where(exact, 1.0, semantic), embedding
+
+
+def _matched(mode: str, held: int = 1_000_000):
+    """The fold of `matches_of`: the greedy matches of one video, best pair first.
+
+    Each gold text knows its best open candidates, and the texts stand in a heap by their best pair. What the top one has lost
+    to others in the meantime is replaced, so a pair that is met at the top is the best that is left. A text whose known
+    candidates are used up is scored anew; in all about `held` pairs are known at once.
     """
-    (golds, first), (others, second) = copies(gold, "gold_id"), copies(candidates, "index")
-    scored = scores(first, second, embeddings).where(eligible(mode)).withColumns({"score": rank_score(mode), "kind": kind(mode), "embedding_or_0": _embedding()})
-    of = scored.select(F.lit(0).alias("part"), "video", F.col("gold_id").alias("gold_of"), F.col("index").alias("index_of"), "exact", "lexical", "semantic", "embedding", "score", "kind", "embedding_or_0")
-    rows = of.unionByName(golds.select(F.lit(1).alias("part"), "video", F.col("of").alias("gold_of"), "gold_id", "seq"), allowMissingColumns=True)
-    rows = rows.unionByName(others.select(F.lit(2).alias("part"), "video", F.col("of").alias("index_of"), "index"), allowMissingColumns=True)
-    rows = rows.select("part", "video", "gold_of", "index_of", "gold_id", "seq", "index", "exact", "lexical", "semantic", "embedding", "score", "kind", "embedding_or_0")
-    out = rows.repartition("video").groupBy("video").applyInPandas(_typed, rows.schema)
-    return out.drop("part", "gold_of", "index_of", "seq", "embedding_or_0")
-
 
-def _typed(rows: pd.DataFrame) -> pd.DataFrame:
-    """greedy_copies with integer keys that nulls of other parts would make floats."""
-    for c in ("index", "index_of", "seq"):
-        if rows[c].dtype.kind == "f":
-            rows[c] = rows[c].astype("Int64")
-    return greedy_copies(rows)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
+        gold, others = (rows[rows["side"] == i].reset_index(drop=True) for i in (0, 1))
+        near: dict = {}
+        if "similarity" in rows:
+            at, to = ({t: i for i, t in enumerate(df["text"])} for df in (gold, others))
+            for x in rows[rows["side"] == 2].itertuples():
+                if not pd.isna(x.similarity):
+                    near.setdefault(at[x.text], []).append((to[x.k], x.similarity))
+        scored, golds = _Scores(others, near), [*gold.itertuples()]
+        queue, open_ = [list(x) for x in others["index"]], [[*zip(g.seq, g.gold_id, strict=True)] for g in golds]
+        head, done, front, free = [0] * len(queue), [0] * len(golds), np.array([q[0] for q in queue], dtype=np.int64), np.ones(len(queue), dtype=bool)
+        known, last, most = [[] for _ in golds], [()] * len(golds), max(64, min(4096, held // max(len(golds), 1)))
+
+        def look(g: int) -> None:
+            """The best open candidates of a gold text, and the key of the last of them if there are more."""
+            there, exact, lexical, semantic, embedding = scored.of(golds[g])
+            emb = np.where(np.isnan(embedding), 0.0, embedding)
+            close = emb >= EMBEDDING
+            fits = exact | {"strict": lexical >= LEXICAL, "embedding": close, "semantic": (lexical >= LEXICAL) | (semantic >= SEMANTIC) | close}[mode]
+            score = np.where(exact, 10.0, {"strict": lexical, "embedding": emb, "semantic": np.maximum(np.maximum(lexical, semantic), emb)}[mode])
+            at = np.flatnonzero(there & fits & free)
+            more = len(at) > most
+            if more:
+                at = at[score[at] >= np.partition(score[at], len(at) - most)[len(at) - most]]
+            at = at[np.lexsort((front[at], -lexical[at], -emb[at], -score[at]))][:most]
+            known[g] = [*zip((-score[at]).tolist(), (-emb[at]).tolist(), (-lexical[at]).tolist(), front[at].tolist(), at.tolist(), exact[at].tolist(), semantic[at].tolist(), embedding[at].tolist(), strict=True)]
+            last[g] = known[g][-1][:4] if more else None
+
+        def put(g: int) -> None:
+            while True:
+                h = known[g]
+                while h:
+                    index, c = h[0][3:5]
+                    if head[c] >= len(queue[c]):
+                        heapq.heappop(h)
+                    elif queue[c][head[c]] != index:
+                        heapq.heapreplace(h, (*h[0][:3], queue[c][head[c]], *h[0][4:]))
+                    else:
+                        break
+                # a candidate that isn't known comes after the last known one
+                if h and (last[g] is None or h[0][:4] <= last[g]):
+                    heapq.heappush(heap, (*h[0][:3], *open_[g][done[g]], h[0][3], g))
+                    return
+                if last[g] is None:
+                    return
+                look(g)
+
+        heap, out = [], []
+        for g in range(len(golds) if queue else 0):
+            put(g)
+        while heap:
+            *_, index, g = heapq.heappop(heap)
+            s, _, l, now, c, exact, semantic, embedding = known[g][0]
+            if now == index and head[c] < len(queue[c]) and queue[c][head[c]] == index:
+                kind = "exact" if exact else "lexical" if mode == "strict" or -l >= LEXICAL else "embedding" if embedding >= EMBEDDING else "proxy-semantic"
+                out.append((rows["video"][0], open_[g][done[g]][1], index, exact, -l, semantic, None if embedding != embedding else embedding, -s, kind))
+                head[c], done[g] = head[c] + 1, done[g] + 1
+                free[c] = head[c] < len(queue[c])
+                if free[c]:
+                    front[c] = queue[c][head[c]]
+            if done[g] < len(open_[g]):
+                put(g)
+        return pd.DataFrame(out, columns=["video", "gold_id", "index", "exact", "lexical", "semantic", "embedding", "score", "kind"])
+
+    return run
 
 
 def copies(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -134,40 +263,6 @@ def copies(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(least.hint("merge"), ["video", "text"]).select("video", key, *[c for c in ("seq", "depth") if c in rows.columns], "of"), rows.join(least.select("video", F.col("of").alias(key)).hint("merge"), ["video", key], "left_semi")
 
 
-def greedy_copies(rows: pd.DataFrame) -> pd.DataFrame:
-    """`greedy` over the pairs of representatives (part 0) for all golds (part 1) and candidates (part 2) with their texts."""
-    queue = {of: sorted(g["index"].tolist()) for of, g in rows[rows["part"] == 2].groupby("index_of")}
-    open_ = {of: sorted(zip(g["seq"], g["gold_id"], strict=True)) for of, g in rows[rows["part"] == 1].groupby("gold_of")}
-    head, done, out = dict.fromkeys(queue, 0), dict.fromkeys(open_, 0), []
-    ties = ["score", "embedding_or_0", "lexical"]
-    # pairs that tie in scores go by seq, then index, whichever texts they have
-    for _, level in rows[rows["part"] == 0].sort_values(ties, ascending=False).groupby(ties, sort=False):
-        heaps = {}
-        for i, g, c in zip(level.index, level["gold_of"], level["index_of"], strict=True):
-            if done[g] < len(open_[g]) and head[c] < len(queue[c]):
-                heaps.setdefault(g, []).append((queue[c][head[c]], c, i))
-        for h in heaps.values():
-            heapq.heapify(h)
-        now = dict(done)
-        for _, gold_id, g in sorted((seq, gold_id, g) for g in heaps for seq, gold_id in open_[g][done[g] :]):
-            h = heaps[g]
-            while h:
-                index, c, i = h[0]
-                if head[c] >= len(queue[c]):
-                    heapq.heappop(h)
-                elif queue[c][head[c]] != index:
-                    heapq.heapreplace(h, (queue[c][head[c]], c, i))
-                else:
-                    # of a gold's copies the first ones are matched, as all see the same candidates
-                    head[c], now[g] = head[c] + 1, now[g] + 1
-                    out.append((i, gold_id, index))
-                    break
-        done = now
-    kept = rows.loc[[i for i, _, _ in out]].copy()
-    kept["gold_id"], kept["index"] = [x[1] for x in out], [x[2] for x in out]
-    return kept
-
-
 def summary(gold: DataFrame, matched: DataFrame) -> DataFrame:
     """(video, matched, total, ratio, roots_matched, roots_total, root_ratio, children_matched, children_total, child_ratio)."""
     rows = gold.select("video", "gold_id", "depth").join(matched.select("video", "gold_id", F.lit(True).alias("hit")), ["video", "gold_id"], "left")
