@@ -84,3 +84,12 @@ def test_matches_of_few_known_candidates(spark):
     rows = [side(i, 0, "g") | {"seq": [i], "gold_id": [f"g{i}"]} for i in range(n)] + [side(i, 1, "c") | {"index": [i]} for i in range(2 * n)]
     got = coverage._matched("strict", held=1)(pd.DataFrame(rows).sample(frac=1, random_state=1))
     assert dict(zip(got["gold_id"], got["index"], strict=True)) == {f"g{i}": i for i in range(n)}
+
+
+def test_summary_shuffles_no_pairs(spark):
+    gold, others = _claims(spark)
+    out = coverage.summary(gold, coverage.matches_of(gold, others, "strict"))
+    want = coverage.summary(gold, coverage.matches(coverage.pairs(gold, others), "strict"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Join") == 1
