@@ -10,6 +10,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,6 +68,75 @@ def scores(gold: DataFrame, candidates: DataFrame, embeddings: DataFrame | None
     return met.select("video", "gold_id", "seq", "depth", "index", "exact", "lexical", "semantic", "embedding")
 
 
+def lexical_pairs(gold: DataFrame, candidates: DataFrame, digits: int = 6, most: int = 4096) -> DataFrame:
+    """(video, gold_id, index, exact, lexical) of `pairs`, lexical to so many digits, without a shuffle of pairs.
+
+    Golds and candidates of a video are dealt into parts of about `most`; two parts with their words are one row, whose pairs
+    are worked out gold by gold behind the last shuffle. Equal texts of a part are scored once.
+    """
+    size, spark = "spark.sql.execution.arrow.maxBytesPerBatch", gold.sparkSession
+    if not 0 < int(now if (now := spark.conf.get(size).rstrip("b")).isdigit() else 0) <= 16 << 20:
+        spark.conf.set(size, str(16 << 20))  # a block is some 500 KB, and a task may have many
+    def parts(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = rows.where("video IS NOT NULL AND text IS NOT NULL").select("video", F.struct(F.col(key).alias("key"), text.key(F.col("text")).alias("k"), F.array_distinct(verify.words(F.col("text"))).alias("w")).alias(name))
+        return rows, rows.groupBy("video").agg(F.ceil(F.count("*") / most).cast("int").alias(f"{name}_parts"))
+
+    (golds, g_parts), (others, c_parts) = parts(gold, "gold_id", "g"), parts(candidates, "index", "c")
+    numbers = g_parts.join(c_parts, "video")
+    of = lambda rows, name: F.pmod(F.xxhash64("video", f"{name}.key"), F.col(f"{name}_parts")).cast("int")
+    all_of = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}_parts") - 1))
+    left = golds.join(numbers, "video").select("video", of(golds, "g").alias("i"), all_of("c").alias("j"), "g")
+    right = others.join(numbers, "video").select("video", all_of("g").alias("i"), of(others, "c").alias("j"), "c")
+    tasks = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a block is small and takes long: blocks must not be put together by size
+    blocks = left.unionByName(right, allowMissingColumns=True).repartition(tasks, "video", "i", "j").groupBy("video", "i", "j").agg(F.collect_list("g").alias("g"), F.collect_list("c").alias("c"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((gold, "video"), (gold, "gold_id"), (candidates, "index"))]
+    return blocks.select("video", *[F.col(f"{n}.{x}").alias(n + x) for n in "gc" for x in ("key", "k", "w")]).mapInArrow(_blocks(digits), f"video {kinds[0]}, gold_id {kinds[1]}, index {kinds[2]}, exact boolean, lexical double")
+
+
+def _blocks(digits: int, batch: int = 1 << 17):
+    def of(row: pa.RecordBatch, r: int):
+        video, gids, gk, gw, cids, ck, cw = (row.column(i)[r] for i in range(7))
+        gids, cids = gids.values, cids.values
+        golds: dict = {}
+        for i, x in enumerate(zip(gk.as_py(), map(tuple, gw.as_py()), strict=True)):
+            golds.setdefault(x, []).append(i)
+        others: dict = {}
+        which = np.array([others.setdefault(x, len(others)) for x in zip(ck.as_py(), map(tuple, cw.as_py()), strict=True)], dtype=np.int64)
+        words, keys = _Postings([w for _, w in others]), np.array([k for k, _ in others], dtype=object)
+        held, rows = [], 0
+        for (k, w), copies_ in golds.items():
+            if not len(which):
+                break
+            both, exact = words.shared(w), keys == k
+            lexical = np.where(exact, 1.0, words.jaccard(w, both)) * 10.0**digits
+            whole = np.trunc(lexical)
+            lexical = (whole + (lexical - whole >= 0.5)) / 10.0**digits
+            there = ((both > 0) | exact)[which]
+            at = np.flatnonzero(there)
+            for i in copies_:
+                held.append((i, at, exact, lexical))
+                rows += len(at)
+                if rows >= batch:
+                    yield pairs_of(video, gids, cids, which, held)
+                    held, rows = [], 0
+        if rows:
+            yield pairs_of(video, gids, cids, which, held)
+
+    def pairs_of(video, gids, cids, which, held) -> pa.RecordBatch:
+        at = np.concatenate([a for _, a, _, _ in held])
+        gold = np.repeat([i for i, *_ in held], [len(a) for _, a, _, _ in held])
+        told = [pa.array(np.concatenate([x[n][which[x[1]]] for x in held])) for n in (2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array([video.as_py()], video.type).take(pa.array(np.zeros(len(at), dtype=np.int64))), gids.take(pa.array(gold)), cids.take(pa.array(at)), *told], ["video", "gold_id", "index", "exact", "lexical"])
+
+    def run(batches):
+        for batch_ in batches:
+            for r in range(batch_.num_rows):
+                yield from of(batch_, r)
+
+    return run
+
+
 def _embedding() -> Column:
     return F.coalesce("embedding", F.lit(0.0))
 

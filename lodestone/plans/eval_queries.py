@@ -178,11 +178,7 @@ def _claims(spark, d):
 @query(f"""WITH {_PARTS} SELECT go.video, 'g' || go.k AS gold_id, can.k AS index, lower(go.t) = lower(can.t) AS exact,
   round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS lexical FROM go JOIN can USING (video) JOIN tk a ON a.k = go.k JOIN tk b ON b.k = can.k""")
 def coverage_pairs(spark, d):
-    # rounded before the copies' pairs arise
-    gold, candidates = _claims(spark, d)
-    (golds, first), (others, second) = coverage.copies(gold, "gold_id"), coverage.copies(candidates, "index")
-    scored = coverage.scores(first, second).select("video", "gold_id", "index", "exact", F.round("lexical", 6).alias("lexical"))
-    return coverage.spread(scored, golds.select("video", "gold_id", "of"), others).select("video", "gold_id", "index", "exact", "lexical")
+    return coverage.lexical_pairs(*_claims(spark, d))
 
 
 @query()

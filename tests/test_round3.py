@@ -93,3 +93,15 @@ def test_summary_shuffles_no_pairs(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Join") == 1
+
+
+def test_lexical_pairs_equal_pairs_and_are_not_shuffled(spark):
+    gold, others = _claims(spark)
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = told(coverage.pairs(gold, others).select("video", "gold_id", "index", "exact", F.round("lexical", 6).alias("lexical")))
+    for most in (4096, 7):
+        out = coverage.lexical_pairs(gold, others, most=most)
+        assert len(want) > 300 and told(out) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Generate" not in plan[: plan.index("MapInArrow")]
+    assert coverage.lexical_pairs(gold, others.where("false")).count() == 0
